@@ -74,9 +74,10 @@ FLOOR_STATE = "events string, at double"
 FLOOR_OUTPUT = "signature string, n_events long, n_new long"
 
 
-def coverage_floor(events: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
+def coverage_floor(events: DataFrame, ttl_ms: int | None = 600_000) -> DataFrame:
     """N22 over a stream (signature, path, address, asset, category): how many events are known of a signature after each batch. A
-    later, thinner decoding never loses events; a signature not seen for `ttl_ms` is forgotten."""
+    later, thinner decoding never loses events; a signature not seen for `ttl_ms` is forgotten. Without a limit of time the stream also ends by itself under an availableNow
+    trigger; with one, Spark keeps running batches to look for timeouts."""
 
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -87,7 +88,8 @@ def coverage_floor(events: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
         for f in frames:
             known |= set(f["path"] + "|" + f["address"] + "|" + f["asset"] + "|" + f["category"].str.upper())
         state.update(("\n".join(sorted(known)), 0.0))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"signature": [key[0]], "n_events": [len(known)], "n_new": [len(known) - before]})
 
-    return events.groupBy("signature").applyInPandasWithState(run, FLOOR_OUTPUT, FLOOR_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("signature").applyInPandasWithState(run, FLOOR_OUTPUT, FLOOR_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)

@@ -17,16 +17,9 @@ def amounts(df):
     return {(r.chain, r.address, r.balance_type): int(r.amount) for r in df.collect() if r.amount}
 
 
-def unique(rows):
-    """One amount per id, as ids are made of content."""
-    first = {}
-    return [first.setdefault(r[0], r)[:12] + r[12:] if r[0] in first else first.setdefault(r[0], r) for r in rows]
-
-
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [first[:12] + (r[12], r[13]) for r, first in ((r, r) for r in events(80, 1))]
     seen = {}
-    rows = [seen.setdefault(r[0], r)[:12] + (r[12], r[13]) for r in rows]
+    rows = [seen.setdefault(r[0], r)[:12] + r[12:] for r in events(80, 1)]  # one amount per id, as ids are made of content
     source = tmp_path / "in"
     for k in range(3):
         spark.createDataFrame(rows[k::3], stream.INPUT).coalesce(1).write.mode("append").parquet(str(source))
@@ -68,6 +61,6 @@ def test_error_rates_and_floor(spark, tmp_path):
     for rows in ([("s", "p", "a", "x", "t"), ("s", "q", "a", "x", "t")], [("s", "p", "a", "x", "T")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
-    q = stream.coverage_floor(src).writeStream.format("memory").queryName("floor").outputMode("update").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q = stream.coverage_floor(src, ttl_ms=None).writeStream.format("memory").queryName("floor").outputMode("update").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert max(r.n_events for r in spark.table("floor").collect()) == 2
