@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import in_arrow, text_column
-from ledgerloom.llm.textstats import FEATURES, statistics
+from ledgerloom.llm.textstats import BASE, FEATURES, statistics
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_ROWS = 20_000
@@ -45,7 +45,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_RO
 
     rows = in_arrow(sample.select("text", "quality", "doc_id"), run, "quality int, doc_id long, base array<long>, features array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.base))
-    return np.array([r.base for r in rows], np.int64), np.array([r.features for r in rows]).reshape(len(rows), -1), np.array([r.quality for r in rows], np.int64)
+    base, features = np.array([r.base for r in rows], np.int64), np.array([r.features for r in rows], float)
+    return base.reshape(len(rows), len(BASE)), features.reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], np.int64)
 
 
 def _best_cut(g: np.ndarray, h: np.ndarray, l2: float) -> tuple[float, int]:
@@ -180,7 +181,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
     """A model from the labels that are not held out."""
     _, x, y = labelled_features(docs, labels.where(~held_out(F.col("doc_id"))), max_rows)
-    return fit(x if len(y) else np.zeros((0, len(FEATURES))), y)
+    return fit(x, y)
 
 
 def scored(docs: DataFrame, model: Gam, *keep: str, prefix: str = "") -> DataFrame:

@@ -81,5 +81,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_bpe, op3_quality_rules, op4_quality_classifier, op5_url_filter, op6_simhash, op7_fingerprints, op8_records, op9_separator_scan, op10_pii)
 }
 
-#: What SQL can express: the parts of a url and the rules; and the method, whose posterior is closed arithmetic.
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _strength_sql(name: str, groups: str) -> str:
+    return f"""{name}_k AS (SELECT CASE WHEN scale > 0 AND spread > 0 THEN greatest({urlrep.WEAKEST}, least({urlrep.STRONGEST}, noise / (spread / scale) - 1)) ELSE {urlrep.STRONGEST} END AS strength FROM (
+      SELECT sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior)) AS spread, sum(n) - sum(n * n) / sum(n) AS scale, sum(n * prior * (1 - prior)) / sum(n) AS noise FROM {groups}) q)"""
+
+
+def _rules_sql(column: str) -> str:
+    ordered = sorted(urlrep.RULES, key=lambda r: -len(r.name))
+    return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, column)}'" for r in ordered) + " END"
+
+
+#: What SQL can express: the parts of a url, the rules, and the method, whose posteriors are closed arithmetic.
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": f"""WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{urlrep.UPPER}', '{urlrep.LOWER}') AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    outcomes AS (SELECT p.host, CAST(l.quality = 0 AS DOUBLE) AS bad FROM (SELECT host, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.html)?/?$', 1), '') AS BIGINT) AS doc_id FROM parts) p JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL),
+    h0 AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, sum(bad) AS bad, CASE WHEN len(string_split(host, '.')) >= 2 THEN concat(string_split(host, '.')[-2], '.', string_split(host, '.')[-1]) ELSE host END AS domain, string_split(host, '.')[-1] AS suffix FROM outcomes GROUP BY host),
+    d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h0 GROUP BY ALL), s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY ALL),
+    s1 AS (SELECT *, (SELECT sum(bad) / sum(n) FROM s0) AS prior FROM s0), {_strength_sql('s', 's1')}, s2 AS (SELECT suffix, (bad + prior * strength) / (n + strength) AS prior FROM s1, s_k),
+    d1 AS (SELECT d0.*, s2.prior FROM d0 JOIN s2 USING (suffix)), {_strength_sql('d', 'd1')}, d2 AS (SELECT domain, (bad + prior * strength) / (n + strength) AS prior FROM d1, d_k),
+    h1 AS (SELECT h0.*, d2.prior FROM h0 JOIN d2 USING (domain)), {_strength_sql('h', 'h1')}, h2 AS (SELECT host, (bad + prior * strength) / (n + strength) AS mean, n + strength AS total FROM h1, h_k),
+    blocked AS (SELECT host FROM h2 WHERE greatest(0, mean - {urlrep.BOUND} * sqrt(mean * (1 - mean) / (total + 1))) > {urlrep.THRESHOLD})
+    SELECT page_id, host, path, {_rules_sql('name')} AS rule, coalesce({_rules_sql('verdict')}, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM parts""",
+}
