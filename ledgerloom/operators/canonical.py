@@ -175,3 +175,46 @@ def cursor_advance(processed: DataFrame) -> DataFrame:
 def guarded(df: DataFrame, processed: Column, total: Column) -> DataFrame:
     """Fails a batch of which nothing could be processed."""
     return df.where(F.when((processed == 0) & (total > 0), F.raise_error(F.lit("no transaction of the batch could be decoded"))).otherwise(F.lit(True)))
+
+
+def reconciled_fees(events: DataFrame) -> DataFrame:
+    """N12 over fee events (tx_hash, path, metadata, fingerprint): one execution and one data fee per transaction.
+
+    The best event that names both parts gives both; else each part comes from the best event that names it. Better is: with a
+    path, with more metadata, with the smaller fingerprint. The path is the chosen event's, else the best one's that has any.
+    """
+    m = F.col("metadata")
+    named = lambda *keys: F.coalesce(*[F.nullif(F.trim(F.element_at(m, k)), F.lit("")) for k in keys])
+    given = F.nullif(F.trim("path"), F.lit(""))
+    rows = events.select("tx_hash", named("fee_execution_l2").alias("e"), named(*DATA_FEE_KEYS).alias("d"), given.alias("p"), F.struct(F.when(given.isNull(), 1).otherwise(0), -F.size("metadata"), "fingerprint").alias("o"))
+    both = F.col("e").isNotNull() & F.col("d").isNotNull()
+    best = lambda value, when: F.min_by(value, F.when(when, F.col("o")))
+    picked = rows.groupBy("tx_hash").agg(
+        best(F.struct("e", "d", "p"), both).alias("b"), best(F.struct("e", "p"), F.col("e").isNotNull()).alias("x"), best(F.struct("d", "p"), F.col("d").isNotNull()).alias("y"), best("p", F.col("p").isNotNull()).alias("path"),
+        F.max(both).alias("some_both"),
+    )
+    either = lambda whole, part: F.when(F.col("some_both"), whole).otherwise(part)
+    return picked.select("tx_hash", either(F.col("b.e"), F.col("x.e")).alias("fee_execution_l2"), either(F.col("b.d"), F.col("y.d")).alias("fee_data_l1"), F.coalesce(either(F.col("b.p"), F.coalesce("x.p", "y.p")), F.col("path")).alias("path"))
+
+
+def floored(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """N22 in batch: a batch's events with those that the ledger knows of the same signatures, so nothing is ever lost."""
+    known = ledger.join(events.select("tx_hash").distinct(), "tx_hash", "left_semi")
+    return coverage(events.unionByName(known.select(*events.columns)))
+
+
+def sentinels(batches: DataFrame) -> DataFrame:
+    """N27 over (chain, network, end_block, n_signatures): empty batches, which only move the watermark."""
+    return batches.where("n_signatures = 0").groupBy("chain", "network").agg(F.max("end_block").alias("ingested_sequence"))
+
+
+def normalised(decoded: DataFrame, watched: DataFrame, network: str, block_times: DataFrame | None = None) -> DataFrame:
+    """N6, N14, N28 over decoded events (chain, tx_hash, block_cursor, event_path, address, counterparty, contract, category, action, delta,
+    token_type, finality_state): canonical events of watched parties. `block_times` (tx_hash, block_time) fills times in the live path
+    only; a replay leaves it out."""
+    own = decoded.join(watched.select("address").distinct(), "address", "left_semi")
+    named = own.withColumns({"network": F.lit(network), "activity": S.activity("category", "delta"), "identity": S.signature_identity("chain", "tx_hash")})
+    moved = self_transfers(named)
+    ids = moved.withColumn("event_id", S.event_id("chain", "network", "identity", "event_path", "address", "contract", "activity")).withColumn("ordinal", F.struct("tx_hash", "event_path"))
+    out = account_winners(ids)
+    return out if block_times is None else out.join(block_times, "tx_hash", "left")

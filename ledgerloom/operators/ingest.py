@@ -173,3 +173,19 @@ def interleaved(commits: DataFrame, order: tuple[str, ...] = ("solana", "base",
 def committed(watermark: Column, expected: Column) -> Column:
     """After an unclear commit, whether it went through."""
     return F.coalesce(watermark >= expected, F.lit(False))
+
+
+def oldest_block_time(batch: DataFrame) -> DataFrame:
+    """G27."""
+    return batch.groupBy("chain", "network").agg(F.min("block_time").alias("oldest_block_time"))
+
+
+def competing_floor(batch: DataFrame, prev_sequence: int) -> DataFrame:
+    """By chain, the lowest block of a batch that competes with the committed branch."""
+    return batch.where(F.col("block_cursor") <= prev_sequence).groupBy("chain", "network").agg(F.min("block_cursor").alias("floor"))
+
+
+def looked_up(addresses: DataFrame, watched: DataFrame) -> DataFrame:
+    """L1 and L2: which addresses are watched. Spark prunes the large side by a runtime Bloom filter of the small one where that pays."""
+    hit = watched.select("chain", "network", "address", F.lit(True).alias("_hit")).distinct()
+    return addresses.join(hit, ["chain", "network", "address"], "left").withColumn("is_watched", F.coalesce("_hit", F.lit(False))).drop("_hit")

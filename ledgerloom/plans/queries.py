@@ -12,7 +12,7 @@ from ledgerloom.functions import scalar as S
 from ledgerloom.operators import canonical, control, finality, ingest, metrics, serving, verify
 from ledgerloom.operators.dedup import pick_winner
 from ledgerloom.plans.views import duckdb_sql, view
-from ledgerloom.sources import btc, evm
+from ledgerloom.sources import btc, evm, solana
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -651,6 +651,99 @@ def internal_call_tree(spark, d):
     return evm.internal_frames(frames).select("tx_hash", "frame_id", "depth")
 
 
+def _payloads(spark, d, body: str) -> DataFrame:
+    """Raw payloads made of orders: `body` is a JSON text with names of columns in brackets."""
+    t = view(spark, d, "v_tx").withColumns({"n": F.col("ordinal").cast("string"), "other": F.concat(F.lit("sup"), (F.col("ordinal") % 50).cast("string"))})
+    parts = body.replace("[", "\0[").replace("]", "]\0").split("\0")
+    text = F.concat(*[F.col(p[1:-1]).cast("string") if p.startswith("[") and p.endswith("]") and p[1:-1] in t.columns else F.lit(p) for p in parts if p])
+    return t.select("ordinal", F.lit("base").alias("chain"), F.col("tx_hash").alias("signature"), text.alias("payload"))
+
+
+def _active(spark, d) -> DataFrame:
+    return view(spark, d, "v_watched").where("is_active").select("address")
+
+
+_EVM = '{"tx":{"hash":"[tx_hash]","blockNumber":"[block_cursor]","from":"[fee_payer]","to":"[other]","value":"[fee_amount]","gasPrice":"[n]"},"receipt":{"status":"0x1","gasUsed":"0x5208","l1Fee":"0x0a","transactionIndex":"0x2"}}'
+
+
+@query("v_tx", "SELECT tx_hash, block_cursor, fee_payer, CAST(21000 * ordinal + 10 AS STRING) AS fee_amount, 'SUCCESS' AS status, CAST(21000 * ordinal AS STRING) AS fee_execution_l2 FROM v_tx")
+def evm_decode(spark, d):
+    return evm.transactions(_payloads(spark, d, _EVM)).select("tx_hash", "block_cursor", "fee_payer", "fee_amount", "status", F.element_at("metadata", "fee_execution_l2").alias("fee_execution_l2"))
+
+
+@query("v_tx v_watched", "SELECT tx_hash, fee_payer AS address, concat('sup', CAST(ordinal % 50 AS STRING)) AS counterparty, concat('-', fee_amount) AS delta, 'tx:2' AS event_path FROM v_tx WHERE fee_payer IN (SELECT address FROM v_watched WHERE is_active)")
+def evm_events(spark, d):
+    return evm.balance_events(evm.transactions(_payloads(spark, d, _EVM)), _active(spark, d)).select("tx_hash", "address", "counterparty", "delta", "event_path")
+
+
+_BTC = '{"txid":"[tx_hash]","block_height":[block_cursor],"confirmations":1,"vin":[{"index":0,"address":"[fee_payer]","value_sat":"[fee_amount]"}],"vout":[{"index":1,"address":"[other]","value_sat":"[n]"}]}'
+
+
+@query("v_tx v_watched", "SELECT tx_hash, fee_payer AS address, concat('-', fee_amount) AS delta, 'vin:0' AS event_path, 'confirmed' AS finality_state FROM v_tx WHERE CAST(fee_amount AS BIGINT) > 0 AND fee_payer IN (SELECT address FROM v_watched WHERE is_active) UNION ALL SELECT tx_hash, 'sup7', CAST(ordinal AS STRING), 'vout:1', 'confirmed' FROM v_tx WHERE ordinal % 50 = 7")
+def btc_decode(spark, d):
+    watched = _active(spark, d).unionAll(spark.createDataFrame([("sup7",)], "address string"))
+    return btc.balance_events(_payloads(spark, d, _BTC), watched).select("tx_hash", "address", "delta", "event_path", "finality_state")
+
+
+@query("v_tx", "SELECT tx_hash, CAST(CASE WHEN CAST(fee_amount AS BIGINT) > 0 AND CAST(fee_amount AS BIGINT) >= ordinal THEN CAST(fee_amount AS BIGINT) - ordinal ELSE 0 END AS STRING) AS fee_amount, fee_payer FROM v_tx")
+def btc_results(spark, d):
+    return btc.results(_payloads(spark, d, _BTC)).select("tx_hash", "fee_amount", "fee_payer")
+
+
+_SOLANA = '{"slot":[block_cursor],"transaction":{"message":{"accountKeys":["[fee_payer]","[other]"],"instructions":[{"programId":"11111111111111111111111111111111","parsed":{"type":"transfer","info":{"source":"[fee_payer]","destination":"1","lamports":[fee_amount]}}}]}},"meta":{"fee":5000}}'
+
+
+@query("v_tx v_watched", """WITH w AS (SELECT * FROM v_tx WHERE fee_payer IN (SELECT address FROM v_watched WHERE is_active)) SELECT tx_hash AS signature, fee_payer AS address, concat('sup', CAST(ordinal % 50 AS STRING)) AS counterparty, concat('-', fee_amount) AS delta, 'TRANSFER' AS category FROM w WHERE fee_amount <> '0'
+    UNION ALL SELECT tx_hash, fee_payer, '', '-5000', 'FEE' FROM w""")
+def solana_decode(spark, d):
+    return solana.balance_events(_payloads(spark, d, _SOLANA), _active(spark, d)).select("signature", "address", "counterparty", "delta", "category")
+
+
+@query("v_tx v_watched", "SELECT tx_hash AS signature, block_cursor AS slot FROM v_tx WHERE fee_payer IN (SELECT address FROM v_watched WHERE is_active)")
+def solana_scan(spark, d):
+    p = _payloads(spark, d, _SOLANA).join(view(spark, d, "v_tx").select("ordinal", F.col("block_cursor").alias("slot")), "ordinal")
+    return solana.scan(p, _active(spark, d)).select("signature", "slot")
+
+
+@query("v_tx", "SELECT tx_hash AS signature, CASE ordinal % 3 WHEN 0 THEN 'evm' WHEN 1 THEN 'btc' ELSE 'solana' END AS family FROM v_tx")
+def payload_router(spark, d):
+    kinds = [_payloads(spark, d, b).where(f"ordinal % 3 = {k}") for k, b in enumerate((_EVM, _BTC, _SOLANA))]
+    return kinds[0].unionAll(kinds[1]).unionAll(kinds[2]).select("signature", evm.payload_family(F.col("payload"), F.lit("polygon")).alias("family"))
+
+
+@query("v_tx", "SELECT tx_hash, CASE ordinal % 2 WHEN 0 THEN '5' ELSE '7' END AS fee_execution_l2, CASE ordinal % 2 WHEN 0 THEN '6' ELSE '8' END AS fee_data_l1, CASE ordinal % 2 WHEN 0 THEN 'log:1' ELSE 'tx:0' END AS path FROM v_tx")
+def fee_reconcile(spark, d):
+    row = lambda path, *kv: F.struct(F.lit(path).alias("path"), F.create_map(*[F.lit(x) for x in kv]).alias("metadata"))
+    both = row("log:1", "fee_execution_l2", "5", "fee_data_l1", "6")
+    only = F.array(row("", "fee_execution_l2", "9", "a", "b", "c", "d"), row("tx:0", "fee_execution_l2", "7"), row("", "l1_fee", "8"))
+    events = view(spark, d, "v_tx").select("tx_hash", F.explode(F.when(F.col("ordinal") % 2 == 0, F.concat(F.array(both), only)).otherwise(only)).alias("e")).select("tx_hash", "e.*").withColumn("fingerprint", F.col("metadata").cast("string"))
+    return canonical.reconciled_fees(events)
+
+
+@query("v_tx v_watched", "SELECT 'matching' AS outcome, count(*) AS n FROM v_tx WHERE fee_amount <> '0' AND fee_payer IN (SELECT address FROM v_watched WHERE is_active)")
+def replay_pipeline(spark, d):
+    again = verify.replayed(_payloads(spark, d, _EVM), _active(spark, d), "mainnet")
+    own = ["event_id", "delta", "address", "activity", "contract", "block_cursor", "tx_hash", "ordinal"]
+    return verify.report(verify.compared(again.select(*own).withColumn("program_id", F.col("contract")), again.select(*own)))
+
+
+@query("v_event v_watched", "SELECT DISTINCT e.chain, e.address, w.address IS NOT NULL AS is_watched FROM v_event e LEFT JOIN (SELECT * FROM v_watched WHERE is_active) w USING (chain, network, address)".replace("e.address, w.address", "address, w.label").replace("e.chain", "chain"))
+def address_lookup(spark, d):
+    wanted = ledger(spark, d).select("chain", "network", "address").distinct()
+    return ingest.looked_up(wanted, view(spark, d, "v_watched").where("is_active")).select("chain", "address", "is_watched")
+
+
+@query("v_tx", "SELECT chain, network, min(block_time) AS oldest_block_time FROM v_tx GROUP BY ALL")
+def oldest_block_time(spark, d):
+    return ingest.oldest_block_time(view(spark, d, "v_tx"))
+
+
+@query("v_event", "SELECT count(*) AS n, tx_hash FROM v_event WHERE outer_index <= 3 AND tx_hash IN (SELECT tx_hash FROM v_event WHERE outer_index <= 2) GROUP BY tx_hash")
+def coverage_floor(spark, d):
+    e = ledger(spark, d).select("tx_hash", F.col("event_path").alias("path"), "address", F.concat("contract", F.col("activity")).alias("asset"), "category", "outer_index", F.lit(True).alias("path_hinted"), F.lit(0).alias("n_metadata"), F.lit(0).alias("n_filled"), F.col("event_id").alias("fingerprint"), F.lit(0).alias("ordinal"))
+    return canonical.floored(e.where("outer_index <= 2"), e.where("outer_index between 2 and 3")).groupBy("tx_hash").agg(F.count("*").alias("n"))
+
+
 # metrics ------------------------------------------------------------------------------------------------------------
 
 
