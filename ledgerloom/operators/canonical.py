@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalar as S
 from ledgerloom.operators.dedup import pick_winner
 
-#: Fixed value: metadata keys that may name the data fee, in order.
+# Metadata keys that may name the finality (on slot-based chains in another order) and the data fee, in order.
+FINALITY_KEYS = ("finality_state", "finality", "confirmation_status", "commitment")
+FINALITY_KEYS_BY_SLOT = ("commitment", "confirmation_status", "finality_state", "finality")
 DATA_FEE_KEYS = ("fee_data_l1", "data_fee_l1", "l1_data_fee", "l1_fee")
 
 
@@ -86,17 +88,14 @@ def split_fees(df: DataFrame) -> DataFrame:
 
 
 def gated_btc_fees(events: DataFrame, txs: DataFrame) -> DataFrame:
-    """Transactions whose fee still has to be booked. The fee is implied already, and so not booked again, where the payer
-    spent an input, someone else received, and the payer's change is what is left after the fee."""
+    """Transactions whose fee still has to be booked. It is there already, as an output, where an input was spent, someone
+    other than the payer received something, and the payer got back exactly the fee."""
     spent, got = F.col("action") == "vin_spend", F.col("action") == "vout_receive"
-    amount, own = S.integer("delta"), F.col("address") == F.col("fee_payer")
-    joined = events.join(txs.select("tx_hash", "fee_payer", "fee_amount"), "tx_hash")
-    seen = joined.groupBy("tx_hash").agg(
-        F.coalesce(F.sum(F.when(spent & own, -amount)), F.lit(0)).alias("spend"), F.coalesce(F.sum(F.when(got & own, amount)), F.lit(0)).alias("change"),
-        F.coalesce(F.sum(F.when(got & ~own, amount)), F.lit(0)).alias("others"), F.first("fee_amount").alias("_fee"),
-    )
-    implied = seen.where((F.col("spend") > 0) & (F.col("others") > 0) & (F.col("spend") - F.col("others") - F.col("change") == S.magnitude("_fee"))).select("tx_hash")
-    return txs.join(implied, "tx_hash", "left_anti")
+    amount, own = S.magnitude("delta"), F.trim("address") == F.trim("fee_payer")
+    joined = events.where("activity in ('DEPOSIT', 'WITHDRAWAL')").join(txs.select("tx_hash", "fee_payer", "fee_amount"), "tx_hash")
+    some = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    seen = joined.groupBy("tx_hash").agg(some(spent).alias("a"), some(got & ~own & (amount != 0)).alias("b"), some(got & own & (amount != 0) & (amount == S.magnitude("fee_amount"))).alias("c"))
+    return txs.join(seen.where("a and b and c").select("tx_hash"), "tx_hash", "left_anti")
 
 
 def owned_by_outer(events: DataFrame) -> DataFrame:
@@ -120,10 +119,14 @@ def account_winners(events: DataFrame) -> DataFrame:
     return pick_winner(events, ["event_id"], [S.rank_norm("finality_state").desc(), F.col("action"), F.col("contract"), F.col("counterparty"), S.delta_order("delta"), F.col("ordinal")])
 
 
-def result_finality(events: DataFrame, keys: tuple[str, ...] = ("finality_state", "finality", "commitment")) -> DataFrame:
+def result_finality(events: DataFrame) -> DataFrame:
     """N18 over (chain, tx_hash, metadata): the strongest finality that any event's metadata names, earlier keys first on ties."""
-    named = F.array(*[F.struct(S.rank_norm(F.element_at("metadata", k)).alias("rank"), F.lit(-i).alias("place"), S.finality(F.element_at("metadata", k)).alias("state")) for i, k in enumerate(keys)])
-    best = events.select("chain", "tx_hash", F.array_max(named).alias("best")).groupBy("chain", "tx_hash").agg(F.max("best").alias("best"))
+
+    def named(keys: tuple[str, ...]) -> Column:
+        return F.array(*[F.struct(S.rank_norm(F.element_at("metadata", k)).alias("rank"), F.lit(-i).alias("place"), S.finality(F.element_at("metadata", k)).alias("state")) for i, k in enumerate(keys)])
+
+    by_chain = F.when(F.col("chain") == "solana", named(FINALITY_KEYS_BY_SLOT)).otherwise(named(FINALITY_KEYS))
+    best = events.select("chain", "tx_hash", F.array_max(by_chain).alias("best")).groupBy("chain", "tx_hash").agg(F.max("best").alias("best"))
     return best.select("chain", "tx_hash", F.when(F.col("best.rank") > 0, F.col("best.state")).otherwise(S.default_finality("chain")).alias("finality_state"))
 
 

@@ -147,20 +147,24 @@ def watermarks(old: DataFrame, new: DataFrame, rewind: bool = False) -> DataFram
 
 
 def drifted(prev_sequence: Column, prev_value: Column, new_sequence: Column, new_value: Column, chain: Column, n_txs: Column) -> Column:
-    """Whether a batch contradicts the committed position: behind it, or at it with another identity and nothing new."""
-    known = prev_value.isNotNull() & new_value.isNotNull()
-    other = ~S.signature_identity(chain, prev_value).eqNullSafe(S.signature_identity(chain, new_value))
+    """Whether a batch contradicts the committed position: behind it, or at it with another identity and nothing new.
+    Without both values, or before anything was committed, it can't."""
+    known = prev_value.isNotNull() & new_value.isNotNull() & (prev_sequence != 0)
+    name = lambda v: F.coalesce(S.cursor_value(chain, v), S.stripped(v))
+    other = name(prev_value) != name(new_value)
     return F.coalesce(known & ((new_sequence < prev_sequence) | ((new_sequence == prev_sequence) & other & (n_txs == 0))), F.lit(False))
 
 
-def fork_cursor(prev_sequence: Column, new_sequence: Column) -> Column:
-    """The first position to roll back: the lower of the two, never below 0."""
-    return F.greatest(F.lit(0), F.least(prev_sequence, new_sequence))
+def fork_cursor(prev_sequence: Column, new_sequence: Column, floor: Column) -> Column:
+    """The position to roll back to: the new one where it lies behind, or on the UTXO chain the lowest block of the
+    competing branch (`floor`) if that is lower still; else the committed one."""
+    lower = F.when((floor > 0) & (floor < new_sequence), floor)
+    return F.when(new_sequence < prev_sequence, F.coalesce(lower, new_sequence)).otherwise(prev_sequence)
 
 
-def advances(prev_sequence: Column, prev_value: Column, new_sequence: Column, new_value: Column) -> Column:
-    """Whether a batch moves the checkpoint."""
-    return new_value.isNotNull() & ((new_sequence > prev_sequence) | ((new_sequence == prev_sequence) & ~new_value.eqNullSafe(prev_value)))
+def advances(prev_sequence: Column, prev_value: Column, new_sequence: Column, new_value: Column, n_txs: Column) -> Column:
+    """Whether a batch moves the checkpoint: it has transactions, another sequence, or another value."""
+    return (n_txs > 0) | (new_sequence != prev_sequence) | ~new_value.eqNullSafe(prev_value)
 
 
 def interleaved(commits: DataFrame, order: tuple[str, ...] = ("solana", "base", "btc")) -> DataFrame:
@@ -180,9 +184,9 @@ def oldest_block_time(batch: DataFrame) -> DataFrame:
     return batch.groupBy("chain", "network").agg(F.min("block_time").alias("oldest_block_time"))
 
 
-def competing_floor(batch: DataFrame, prev_sequence: int) -> DataFrame:
-    """By chain, the lowest block of a batch that competes with the committed branch."""
-    return batch.where(F.col("block_cursor") <= prev_sequence).groupBy("chain", "network").agg(F.min("block_cursor").alias("floor"))
+def competing_floor(batch: DataFrame) -> DataFrame:
+    """The lowest block of a batch of the UTXO chain; only it replays competing branches."""
+    return batch.where("chain = 'btc' and block_cursor > 0").groupBy("chain", "network").agg(F.min("block_cursor").alias("floor"))
 
 
 def looked_up(addresses: DataFrame, watched: DataFrame) -> DataFrame:

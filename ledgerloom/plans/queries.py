@@ -435,10 +435,10 @@ def health_p95(spark, d):
     return control.health(view(spark, d, "v_signal")).select("ordinal", "p95", "failures_in_row")
 
 
-_MESSAGES = "CASE event_type WHEN 'error' THEN '429 Too Many Requests' WHEN 'click' THEN 'request Timeout' WHEN 'view' THEN 'HTTP 503' WHEN 'purchase' THEN 'Connection reset by peer' ELSE 'invalid params' END"
+_MESSAGES = "CASE event_type WHEN 'error' THEN '429 Too Many Requests' WHEN 'click' THEN 'request Timeout' WHEN 'view' THEN 'HTTP status 503' WHEN 'purchase' THEN 'Connection reset by peer' ELSE 'invalid params' END"
 
 
-@query("v_signal", f"""SELECT message, count(*) AS n, CASE message WHEN '429 Too Many Requests' THEN 'rate_limited' WHEN 'request Timeout' THEN 'timeout' WHEN 'HTTP 503' THEN 'server_error' WHEN 'Connection reset by peer' THEN 'network_error' ELSE 'client_error' END AS rpc_kind,
+@query("v_signal", f"""SELECT message, count(*) AS n, CASE message WHEN '429 Too Many Requests' THEN 'rate_limited' WHEN 'request Timeout' THEN 'timeout' WHEN 'HTTP status 503' THEN 'server_error' WHEN 'Connection reset by peer' THEN 'network_error' ELSE 'client_error' END AS rpc_kind,
     CASE WHEN message = 'invalid params' THEN 'terminal' ELSE 'transient' END AS retry_class FROM (SELECT {_MESSAGES} AS message FROM v_signal) x GROUP BY message""")
 def error_classify(spark, d):
     m = view(spark, d, "v_signal").select(F.expr(_MESSAGES).alias("message")).groupBy("message").agg(F.count("*").alias("n"))

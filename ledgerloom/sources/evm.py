@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.bignum import hex_to_decimal
 from ledgerloom.operators.dedup import pick_winner
 
-#: Fixed value: the first topic of token transfers, as the reference's fixtures spell it; a parameter of decoding.
+#: Fixed value: the first topic of token transfers as the payloads in use spell it; a parameter of decoding.
 TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55aebf9f4f7b8"
 ZERO_ADDRESS = "0x" + "0" * 40
 

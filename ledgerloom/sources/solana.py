@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Program ids, instruction types, and the names under which payloads give parties.
-SYSTEM, TOKEN, TOKEN_2022 = "1" * 32, "TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA", "TokenzQdBNbLqP5VEhdkAS6EPFLC1PHnBqCXEpPxuEb"
+SYSTEM, TOKEN = "1" * 32, "TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA"
 SYSTEM_TYPES = {"transfer": "system_transfer", "transferWithSeed": "system_transfer_with_seed", "createAccount": "system_create_account", "createAccountWithSeed": "system_create_account_with_seed", "withdrawNonceAccount": "system_withdraw_nonce"}
 TOKEN_TYPES = {"transfer": "spl_transfer", "transferChecked": "spl_transfer_checked", "mintTo": "spl_mint", "mintToChecked": "spl_mint_checked", "burn": "spl_burn", "burnChecked": "spl_burn_checked"}
 FROM_NAMES = ("source", "fromAddress", "fromAccount", "fromPubkey", "from")
@@ -78,7 +78,7 @@ def dispatched(rows: DataFrame) -> DataFrame:
     """Instructions that a rule reads: the claimed outer one alone, else the outer's inner ones. A rule that reads an
     instruction claims it even if no event follows."""
     system = (F.col("program") == SYSTEM) & F.col("type").isin(*SYSTEM_TYPES) & F.col("info").isNotNull()
-    token = F.col("program").isin(TOKEN, TOKEN_2022) & F.col("type").isin(*TOKEN_TYPES)
+    token = (F.col("program") == TOKEN) & F.col("type").isin(*TOKEN_TYPES)
     read = rows.withColumn("rule", F.when(system, "system").when(token, "token"))
     claimed = F.max(F.when((F.col("inner_index") == -1) & F.col("rule").isNotNull(), True).otherwise(False)).over(Window.partitionBy("signature", "outer_index"))
     return read.withColumn("_claimed", claimed).where(F.col("rule").isNotNull() & (~F.col("_claimed") | (F.col("inner_index") == -1))).drop("_claimed")
