@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 ROOT = Path(__file__).resolve().parents[2]
 #: Bytes that one call handles at a time where work on a text needs several arrays of its length.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -65,6 +66,18 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows, for jobs that run inside the block on a few numbers a row."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for shared intermediates. Only where it is unset (tests), a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)

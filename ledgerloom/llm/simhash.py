@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import in_arrow, shipped, written
+from ledgerloom.llm.common import arrow_rows, in_arrow, shipped, written
 from ledgerloom.llm.components import connected
 from ledgerloom.llm.golay import nearby
 
@@ -181,12 +181,14 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            key, row = keys_of(fps.view(np.uint64))
-            for s in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(key[s : s + (1 << 16)]), pa.array(fps[row[s : s + (1 << 16)]])], names=["key", "fp"])
-
-    found = written(_linked(distinct.mapInArrow(emit, "key long, fp long"), bucket), "links")
+            every = batch.column(0).to_numpy(zero_copy_only=False)
+            for s in range(0, len(every), 1024):
+                fps = every[s : s + 1024]
+                key, row = keys_of(fps.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], names=["key", "fp"])
+
+    with arrow_rows(distinct.sparkSession, 1 << 14):  # two numbers a row
+        found = written(_linked(distinct.mapInArrow(emit, "key long, fp long"), bucket), "links")
     out = found.where("b is not null").select("a", "b")
     large = found.where("key is not null").select("key", F.col("a").alias("fp"))
     if large.limit(1).count():

@@ -18,7 +18,7 @@ import numpy as np
 import regex
 
 #: Pieces kept by a worker; about 200 bytes each. The cache starts again when it is full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 #: A space with white space or the text's end on both sides: a cut there could split a run of white space.
 DOUBTFUL = re.compile(r"\s(?: (?=\s)| \Z)|\A (?=\s|\Z)")
 #: What the fast way takes: no special token, no rare space, no character that normal forms or casing by context touch.
