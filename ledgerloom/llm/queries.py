@@ -68,9 +68,10 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document of flat token files (byte-level BPE, end-of-text as separator): doc_id, start, n_tokens (without the separator)."""
+    """Per document of flat token files (byte-level BPE, end-of-text as separator): doc_id, n_tokens (without the separator)
+    and where it stands: file, place in the file, and start, the ids before it in its file."""
     folder, files = sepscan.write_flat(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), separator=50256)
-    return sepscan.scanned(spark, folder, files, separator=50256).select("doc_id", "start", "n_tokens")
+    return sepscan.scanned(spark, folder, files, separator=50256).select("doc_id", "n_tokens", "part", "place", "start")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ block order) tells every block how many documents end before it and how long the
 then emits each document in the block where it ends. Blocks are small and independent, so a very long document
 costs no memory, and a lost task repeats its block only.
 
-Defined results: a null or empty text is a document of no tokens; rows without an id come first; rows with equal ids are
-documents each, in order of their texts; extra columns are not read; an empty table gives no rows. Tokens after a file's last
+Files are written one per input partition, in the order in which the table is read, so nothing is shuffled.
+
+Defined results: a null or empty text is a document of no tokens; a null id is carried along; rows with equal ids are
+documents each; extra columns are not read; an empty table gives no rows. Tokens after a file's last
 separator are one more document. Separator strings inside a text are ordinary text and never end a document.
 """
 
@@ -34,7 +36,7 @@ WIDTHS = {2: "<u2", 4: "<u4"}
 
 
 def write_flat(docs: DataFrame, tokenizer: str, separator: int, folder: str | None = None, width: int = 2) -> tuple[str, list[dict]]:
-    """Writes `docs` (doc_id, text) in ascending id order to `part-n.bin`, and the ids of the documents to `part-n.ids`.
+    """Writes `docs` (doc_id, text) as they come, a file `part-n.bin` per partition, and the ids of its documents to `part-n.ids`.
 
     Returns the folder and (part, ids) per file.
     """
@@ -73,8 +75,8 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, folder: str | No
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (n, total)], names=["part", "ids"])
 
-    ordered = docs.select("doc_id", text_column()).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return folder, sorted((r.asDict() for r in ordered.mapInArrow(run, "part long, ids long").collect()), key=lambda r: r["part"])
+    read = docs.select("doc_id", text_column())
+    return folder, sorted((r.asDict() for r in read.mapInArrow(run, "part long, ids long").collect()), key=lambda r: r["part"])
 
 
 def block_ids(f: pa.NativeFile, block: int, size: int, width: int) -> np.ndarray:
@@ -83,14 +85,13 @@ def block_ids(f: pa.NativeFile, block: int, size: int, width: int) -> np.ndarray
 
 
 def blocks_of(spark: SparkSession, files: list[dict], size: int) -> DataFrame:
-    """(part, ids, file_start, block) for every block of the files."""
-    starts = np.concatenate([[0], np.cumsum([r["ids"] for r in files])]).tolist() if files else []
-    rows = spark.createDataFrame([(r["part"], r["ids"], s) for r, s in zip(files, starts)], "part long, ids long, file_start long")
+    """(part, ids, block) for every block of the files."""
+    rows = spark.createDataFrame([(r["part"], r["ids"]) for r in files], "part long, ids long")
     return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("ids") - 1) / size)))))
 
 
 def scanned(spark: SparkSession, folder: str, files: list[dict], separator: int, width: int = 2, size: int = BLOCK) -> DataFrame:
-    """(doc_id, part, place, start, n_tokens) for every document of the files; start counts all ids before, separators too."""
+    """(doc_id, part, place, start, n_tokens) for every document of the files; start counts the ids before it in its file, separators too."""
     shipped(spark)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +101,13 @@ def scanned(spark: SparkSession, folder: str, files: list[dict], separator: int,
             for r in batch.to_pylist():
                 with fs.open_input_file(f"{path}/part-{r['part']:06d}.bin") as f:
                     at = np.flatnonzero(block_ids(f, r["block"], size, width) == separator)
-                out.append((r["part"], r["ids"], r["file_start"], r["block"], len(at), r["block"] * size + int(at[-1]) + 1 if len(at) else None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["part", "ids", "file_start", "block", "ends", "after_last"])
+                out.append((r["part"], r["ids"], r["block"], len(at), r["block"] * size + int(at[-1]) + 1 if len(at) else None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["part", "ids", "block", "ends", "after_last"])
 
     spread = blocks_of(spark, files, size).repartition("part", "block")
-    seen = spread.mapInArrow(summaries, "part long, ids long, file_start long, block long, ends long, after_last long")
+    seen = spread.mapInArrow(summaries, "part long, ids long, block long, ends long, after_last long")
     before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    known = seen.select("part", "ids", "file_start", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("after_last").over(before), F.lit(0)).alias("open"))
+    known = seen.select("part", "ids", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("after_last").over(before), F.lit(0)).alias("open"))
     names = ["doc_id", "part", "place", "start", "n_tokens"]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,7 @@ def scanned(spark: SparkSession, folder: str, files: list[dict], separator: int,
                         got = np.frombuffer(g.read(9 * len(ends)), docs.dtype)
                     docs[: len(got)] = got
                 place = r["first"] + np.arange(len(ends))
-                columns = [pa.array(docs["doc"], pa.int64(), mask=docs["none"].astype(bool)), pa.array(np.full(len(ends), r["part"])), pa.array(place), pa.array(r["file_start"] + starts), pa.array(ends - starts)]
+                columns = [pa.array(docs["doc"], pa.int64(), mask=docs["none"].astype(bool)), pa.array(np.full(len(ends), r["part"])), pa.array(place), pa.array(starts), pa.array(ends - starts)]
                 yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in columns], names=names)
 
     return known.repartition("part", "block").mapInArrow(documents, ", ".join(f"{n} long" for n in names))
