@@ -15,20 +15,20 @@ from ledgerloom.llm.common import dropped, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """(at, m): the least neighbour of each node, as a table of its own: a join with it deals both sides anew, so that the edges of a
+    node with very many neighbours can be split among tasks."""
+    return written(pairs.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m")), "least")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """(u, v) with u > v -> each neighbour larger than u is linked to the least of u and its neighbours."""
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
-    return edges.join(least, "v").select("u", F.col("m").alias("v")).where("u > v").distinct()
+def large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(u, v) with u > v -> each neighbour larger than v is linked to the least of v and its neighbours."""
+    return edges.join(least, edges.v == least["at"]).select("u", F.least("v", "m").alias("v")).where("u > v").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """(u, v) with u > v -> u and its neighbours are linked to the least of them."""
-    least = _least(edges)
-    return edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
+def small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """(u, v) with u > v -> u and its smaller neighbours are linked to the least of them."""
+    joined = edges.join(least, edges.u == least["at"])
+    return joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -36,8 +36,12 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     mark = None
     while True:
-        after = written(small_star(large_star(now)), "edges")
-        dropped(now)
+        least = _least(now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        half = written(large_star(now, least), "edges")
+        own = _least(half)
+        after = written(small_star(half, own), "edges")
+        for done in (now, least, half, own):
+            dropped(done)
         now = after
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:

@@ -204,11 +204,12 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fps = written(fingerprinted(docs), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     groups = connected(links(least.select("fp"), bucket), "a", "b")
-    joined = groups.join(least, groups.node == least.fp).select("node", "root", "least_id")
-    names = joined.groupBy("root").agg(F.min("least_id").alias("group_id"))
+    # tables of their own, so that joins deal both sides anew and a key with very many rows can be split among tasks
+    joined = written(groups.join(least, groups.node == least.fp).select("node", "root", "least_id"), "members")
+    names = written(joined.groupBy("root").agg(F.min("least_id").alias("group_id")), "names")
     of_group = joined.join(names, "root").select("node", "group_id")
     of_fp = least.join(of_group, least.fp == of_group.node, "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(written(of_fp, "groups"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
