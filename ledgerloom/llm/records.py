@@ -49,18 +49,26 @@ def _byte_table() -> np.ndarray:
 
 
 @lru_cache(64)
-def _shift_table(level: int) -> np.ndarray:
-    """Four tables of 256: how a CRC state changes over 2^level zero bytes."""
+def _byte_shift(level: int) -> np.ndarray:
+    """Four tables of 256: how each byte of a CRC state changes over 2^level zero bytes."""
+    s = np.arange(256, dtype=np.uint32)
     if level == 0:
-        one = _byte_table()
-        s = np.arange(256, dtype=np.uint32)
-        return np.stack([one[s], s << np.uint32(0), s << np.uint32(8), s << np.uint32(16)])
-    half = _shift_table(level - 1)
-    return np.stack([_shifted(_shifted(np.arange(256, dtype=np.uint32) << np.uint32(8 * k), half), half) for k in range(4)])
+        return np.stack([_byte_table()[s], s, s << np.uint32(8), s << np.uint32(16)])
+    half = _byte_shift(level - 1)
+    over = lambda x: half[0][x & 0xFF] ^ half[1][x >> 8 & 0xFF] ^ half[2][x >> 16 & 0xFF] ^ half[3][x >> 24]
+    return np.stack([over(over(s << np.uint32(8 * k))) for k in range(4)])
 
 
-def _shifted(state: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return table[0][state & 0xFF] ^ table[1][state >> 8 & 0xFF] ^ table[2][state >> 16 & 0xFF] ^ table[3][state >> 24]
+@lru_cache(64)
+def _shift_table(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the low and the high half of a state."""
+    t, x = _byte_shift(level), np.arange(1 << 16)
+    return t[0][x & 0xFF] ^ t[1][x >> 8], t[2][x & 0xFF] ^ t[3][x >> 8]
+
+
+def _shifted(state: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    halves = np.ascontiguousarray(state).view("<u2")
+    return table[0][halves[..., 0::2]] ^ table[1][halves[..., 1::2]]
 
 
 def crc32c(blobs: list[bytes]) -> np.ndarray:

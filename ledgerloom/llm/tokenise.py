@@ -17,7 +17,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Pieces kept by a worker; about 200 bytes each. The cache starts again when it is full.
+#: Pieces in a generation of a worker's cache, some 200 bytes each. When a generation is full it becomes the older one, from
+#: which pieces that are met again are taken over; the one before is dropped.
 CACHE_PIECES = 200_000
 #: A space with white space or the text's end on both sides: a cut there could split a run of white space.
 DOUBTFUL = re.compile(r"\s(?: (?=\s)| \Z)|\A (?=\s|\Z)")
@@ -53,6 +54,8 @@ class Pieces(dict):
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.lower else BYTE_PATTERN)
         self.model = self.library.model
         self.symbols = byte_symbols()
+        self.older: dict[str, bytes] = {}
+        self.points = {c: self.plain(c) for c in ".,"}
         self.after_space = None if lead or self.lower else Pieces(path, " ", literal)
 
     def mapped(self, word: str) -> str:
@@ -61,23 +64,32 @@ class Pieces(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def plain(self, text: str) -> bytes:
+        """Ids of a text that the file's pattern and the library's model handle by themselves."""
+        ids: list[int] = []
+        low = text.lower() if self.lower else text
+        for word in (low,) if low.isalpha() or low[:1] == " " and low[1:].isalpha() else self.word.findall(low):
+            if word[0] == " " and word.isascii():
+                word = "\u0120" + word[1:] if word.isprintable() else self.mapped(word)
+            elif not word.isascii() or not word.isprintable():
+                word = self.mapped(word)
+            for t in self.model.tokenize(word):
+                ids.append(t.id)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, key: str) -> bytes:
-        piece = self.lead + key
-        if (piece.isascii() and piece.isprintable() or PLAIN.match(piece)) and "<|" not in piece:
-            piece_ids: list[int] = []
-            low = piece.lower() if self.lower else piece
-            for word in (low,) if low.isalpha() or low[:1] == " " and low[1:].isalpha() else self.word.findall(low):
-                if word[0] == " " and word.isascii():
-                    word = "\u0120" + word[1:] if word.isprintable() else self.mapped(word)
-                elif not word.isascii() or not word.isprintable():
-                    word = self.mapped(word)
-                for t in self.model.tokenize(word):
-                    piece_ids.append(t.id)
-            ids = struct.pack(f"<{len(piece_ids)}I", *piece_ids)
-        else:
-            ids = self.whole(piece)
-        if len(piece) <= 64:
+        ids = self.older.get(key)
+        if ids is None:
+            piece = self.lead + key
+            if key[-1:] in self.points and (key[:-1].lower() if self.lower else key[:-1]).isalpha() and PLAIN.match(key):
+                ids = self[key[:-1]] + self.points[key[-1]]  # a letter and a point are never one word
+            elif (piece.isascii() and piece.isprintable() or PLAIN.match(piece)) and "<|" not in piece:
+                ids = self.plain(piece)
+            else:
+                ids = self.whole(piece)
+        if len(key) <= 64:
             if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[key] = ids
         return ids
