@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import gam, packing, pii, rules, simhash
+from ledgerloom.llm import gam, likeness, packing, pii, rules
 from ledgerloom.llm.common import table, written
 from ledgerloom.llm.queries import BYTE_BPE, documents, labels, tokenizer_path
 
@@ -29,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id."""
-    return simhash.representatives(docs)
+    """Keeps of each group of near duplicates, alike in 0.8 of their five-word shingles, the document with the smallest id."""
+    return likeness.representatives(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

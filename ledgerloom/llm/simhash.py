@@ -210,16 +210,3 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     of_group = joined.join(names, "root").select("node", "group_id")
     of_fp = least.join(of_group, least.fp == of_group.node, "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id"))
     return fps.join(written(of_fp, "groups"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """One row of `docs` for each group of near duplicates: that with the smallest id.
-
-    Of several rows with that id, the one with the smallest text hash stays. Rows without an id stay: no id names them.
-    """
-    from pyspark.sql import Window
-
-    kept = near_duplicates(docs, bucket).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
