@@ -6,7 +6,8 @@ invisible characters go, spelled digits become digits, and bracketed or spoken a
 base patterns run over the rewritten text too; what they find is mapped back to the source, and added unless a base span
 of the same kind holds it already.
 
-A spoken sign counts only in context: `at` with a spoken or written dot and a known ending after it, `dot` after such an
+A spoken sign counts only in context: `at` with a spoken or written dot and a known ending after it (any ending
+where some sign is bracketed), `dot` after such an
 `at` or between digits, spelled digits only in runs. So prose is left alone. Texts without any trigger are not rewritten.
 
 Defined results: a null or empty text has no spans; a null id is carried along; extra columns are not read; an empty table gives
@@ -93,7 +94,7 @@ DIGITS = {
 }
 AT_WORDS = ("at", "arroba", "arobase")
 DOT_WORDS = ("dot", "punkt", "punto", "point")
-ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "me", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "be", "eu", "us", "ca", "au", "jp", "cn", "ru", "br", "example", "test", "invalid")
+ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "me", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "be", "eu", "us", "ca", "au", "jp", "cn", "ru", "br", "pl", "se", "ai", "fi", "dk", "cz", "sk", "hu", "ro", "bg", "gr", "pt", "ie", "lt", "lv", "ee", "ua", "kr", "tw", "hk", "sg", "nz", "za", "mx", "cl", "ar", "tr", "il", "rs", "hr", "lu", "li", "vn", "ph", "ae", "ng", "ke", "eg", "tv", "fm", "app", "dev", "xyz", "mobi", "coop", "example", "test", "invalid")
 INVISIBLE = "­​‌‍⁠﻿"
 
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
@@ -102,10 +103,12 @@ _DOT_SIGN = rf"(?:\s*(?:\[\s*(?:{_DOT}|\.)\s*\]|\(\s*(?:{_DOT}|\.)\s*\)|\{{\s*(?
 _NAME = r"[a-z0-9_%+-]+"
 _LABEL = r"[a-z0-9-]+"
 _ANY_DOT = rf"(?:{_DOT_SIGN}|\s+(?:{_DOT})\s+|\.|\s\.\s)"
-#: An address with at least one disguised sign; the lookbehind keeps starts at the beginning of a name.
-ADDRESS = re.compile(
-    rf"(?<![a-z0-9._%+-]){_NAME}(?:{_ANY_DOT}{_NAME}){{0,4}}?(?P<at>{_AT_SIGN}|\s+(?:{_AT})\s+|\s@\s|@){_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}(?:{_DOT_SIGN}|\s+(?:{_DOT})\s+|\.|\s\.\s)(?P<end>{'|'.join(ENDINGS)})(?![a-z0-9-])", re.I,
-)
+#: Names joined by dots, plain or disguised; the lookbehind keeps starts at the beginning of a name.
+_LOCAL_PART = re.compile(rf"(?<![a-z0-9._%+-]){_NAME}(?:{_ANY_DOT}{_NAME})*+", re.I)
+_SIGN = re.compile(rf"(?P<at>(?P<bracketed>{_AT_SIGN})|\s+(?:{_AT})\s+|\s@\s|@)(?P<label>{_LABEL})", re.I)
+_NEXT_LABEL = re.compile(rf"(?P<dot>{_ANY_DOT})(?P<label>{_LABEL})", re.I)
+_BRACKETED_DOT = re.compile(_DOT_SIGN, re.I)
+_ENDINGS = frozenset(ENDINGS)
 _AT_PART = re.compile(rf"{_AT_SIGN}|\s+(?:{_AT})\s+|\s@\s", re.I)
 _DOT_PART = re.compile(rf"{_DOT_SIGN}|\s+(?:{_DOT})\s+|\s\.\s", re.I)
 _DIGIT_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
@@ -159,16 +162,36 @@ class Rewritten:
         self.text = "".join(text) + self.text[last:]
         self.start, self.end = np.concatenate([*start, self.start[last:]]), np.concatenate([*end, self.end[last:]])
 
+    def domain_end(self, sign: re.Match, bracketed: bool) -> int:
+        """Where the domain after a sign ends, 0 if there is none: at the last label that is a known ending, or, with a bracketed
+        sign before it, any of two letters and more, unless it only follows a spoken or spaced dot of a later sentence."""
+        end, at, first = 0, sign.end(), True
+        while m := _NEXT_LABEL.match(self.text, at):
+            own = bool(_BRACKETED_DOT.fullmatch(m["dot"]))
+            bracketed = bracketed or own
+            label = m["label"].lower()
+            if label in _ENDINGS or bracketed and (own or first or m["dot"] == ".") and len(label) >= 2 and label.isalpha():
+                end = m.end()
+            at, first = m.end(), False
+        return end
+
     def addresses(self) -> None:
         parts: list[tuple[int, int, str]] = []
-        for m in ADDRESS.finditer(self.text):
+        pos = 0
+        while name := _LOCAL_PART.search(self.text, pos):
+            pos = name.end()
+            m = _SIGN.match(self.text, pos)
+            end = m and self.domain_end(m, bool(m["bracketed"] or _BRACKETED_DOT.search(self.text, *name.span())))
+            if not end:
+                continue
             spoken_at = m["at"].strip().lower() in AT_WORDS
-            if spoken_at and not _DOT_PART.search(self.text, m.end("at"), m.end()):
+            if spoken_at and not _DOT_PART.search(self.text, m.end("at"), end):
                 continue  # "meet at example.com" is no address
+            pos = end
             if m["at"] != "@":
                 a, b = m.span("at")
                 parts.append((a, b, "@"))
-            parts += [(d.start(), d.end(), ".") for side in ((m.start(), m.start("at")), (m.end("at"), m.end())) for d in _DOT_PART.finditer(self.text, *side)]
+            parts += [(d.start(), d.end(), ".") for side in ((name.start(), m.start("at")), (m.end("at"), end)) for d in _DOT_PART.finditer(self.text, *side)]
         self.replace(sorted(parts))
 
     def digits(self) -> None:
