@@ -114,7 +114,7 @@ _DOT_PART = re.compile(rf"{_DOT_SIGN}|\s+(?:{_DOT})\s+|\s\.\s", re.I)
 _DIGIT_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 #: A run of spelled digits, digits and spoken signs, at least three of them spelled.
 _ITEM = rf"(?:(?:{_DIGIT_WORD})\b|[0-9]+|(?:{_DOT})\b|\.)"
-RUN = re.compile(rf"(?<![^\W_])(?:plus[\s-]+|\+\s*)?{_ITEM}(?:[\s,-]{{0,2}}{_ITEM}){{3,80}}", re.I)
+RUN = re.compile(rf"(?<![^\W_])(?:plus[\s-]+|\+\s*)?{_ITEM}(?:[\s,-]{{0,2}}{_ITEM}){{3,}}+", re.I)
 _RUN_PART = re.compile(rf"(?P<digit>{_DIGIT_WORD})|(?P<number>[0-9]+)|(?P<dot>{_DOT}|\.)|(?P<plus>plus|\+)|(?P<gap>[\s,-]+)", re.I)
 _STRANGE = re.compile(r"[^\x00-ɏ‐-‟…€\s]|\xad")
 #: What a text needs to hold before the costlier patterns look at it; for RE2, which reads a text once.
@@ -139,6 +139,59 @@ def ascii_of(c: str) -> str:
     return plain if len(plain) == 1 and plain.isascii() else "." if c in "。․" else c
 
 
+def card_ends(items: list[re.Match]) -> set[int]:
+    """Places of the gaps of a run that end a number, where over 19 digits stand together: lines are joined only if they make a card,
+    and a line that is longer is cut only if cards fill it whole."""
+    out: set[int] = set()
+    stretch: list[tuple[int, str]] = []  # place of the gap before, digits
+    for k, p in [*enumerate(items), (len(items), None)]:
+        if p is not None and p["gap"]:
+            continue
+        if p is not None and (p["digit"] or p["number"]):
+            before = k - 1 if k and items[k - 1]["gap"] else -1
+            stretch.append((before, DIGITS[p["digit"].lower()] if p["digit"] else p["number"]))
+            continue
+        if sum(len(d) for _, d in stretch) > 19:
+            lines: list[list[tuple[int, str]]] = []
+            for gap, digits in stretch:
+                if not lines or gap >= 0 and re.search(r"[\r\n]", items[gap][0]):
+                    lines.append([])
+                lines[-1].append((gap, digits))
+            for first, n in _tiled(["".join(d for _, d in x) for x in lines]):
+                out.add(lines[first][0][0])
+                if n == 1 and sum(len(d) for _, d in lines[first]) > 19:
+                    cuts = _tiled([d for _, d in lines[first]])
+                    if all(_is_card("".join(d for _, d in lines[first][i : i + j])) for i, j in cuts):
+                        out.update(lines[first][i][0] for i, _ in cuts)
+            out.discard(stretch[0][0])
+        stretch = []
+    return out - {-1}
+
+
+def _is_card(digits: str) -> bool:
+    return 12 <= len(digits) <= 19 and luhn(digits)
+
+
+def _tiled(units: list[str]) -> list[tuple[int, int]]:
+    """Consecutive units as (first, how many), so that the most digits are in cards; units of no card stand alone."""
+    best: list[tuple[int, int]] = [(0, 0)]  # digits in cards so far, units of the last piece
+    for k in range(1, len(units) + 1):
+        options, joined = [(best[k - 1][0], 1)], ""
+        for n in range(1, k + 1):
+            joined = units[k - n] + joined
+            if len(joined) > 19:
+                break
+            if _is_card(joined):
+                options.append((best[k - n][0] + len(joined), n))
+        best.append(max(options))
+    out, k = [], len(units)
+    while k:
+        n = best[k][1]
+        out.append((k - n, n))
+        k -= n
+    return out[::-1]
+
+
 class Rewritten:
     """A text under rewriting, with the source span of each of its characters."""
 
@@ -200,8 +253,9 @@ class Rewritten:
             items = list(_RUN_PART.finditer(self.text, m.start(), m.end()))
             if sum(p["digit"] is not None for p in items) < 3:
                 continue
-            for p in items:
-                c = DIGITS[p["digit"].lower()] if p["digit"] else "." if p["dot"] else "+" if p["plus"] else "" if p["gap"] else p["number"]
+            ends = card_ends(items)
+            for k, p in enumerate(items):
+                c = "\n" if k in ends else DIGITS[p["digit"].lower()] if p["digit"] else "." if p["dot"] else "+" if p["plus"] else "" if p["gap"] else p["number"]
                 if c != p[0]:
                     parts.append((p.start(), p.end(), c))
         self.replace(parts)

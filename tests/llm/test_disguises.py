@@ -21,3 +21,29 @@ def test_any_ending_and_any_number_of_labels(address):
 
 def test_next_sentence_is_no_ending():
     assert ("email", "jane [at] firm [dot] com") in found("jane [at] firm [dot] com . Then more")
+
+
+WORDS = "zero one two three four five six seven eight nine".split()
+CARD, OTHER = "4111111111111111", "5500005555555559"
+
+
+def spelled(digits, gap=" "):
+    return gap.join(WORDS[int(c)] for c in digits)
+
+
+@pytest.mark.parametrize("gap", ["\n", ", ", " "])
+def test_neighbouring_cards_are_both_found(gap):
+    a, b = spelled(CARD), spelled(OTHER)
+    assert found(f"pay {a}{gap}{b} now") == [("card", a), ("card", b)]
+
+
+def test_one_card_over_two_lines_is_still_found():
+    text = spelled(CARD[:8]) + "\n" + spelled(CARD[8:])
+    assert found(text) == [("card", text)]
+    both = text + "\n" + spelled(OTHER)
+    assert found(both) == [("card", text), ("card", spelled(OTHER))]
+
+
+def test_many_cards_of_one_run():
+    cards = [spelled(CARD, ", ")] * 9
+    assert found(" . ".join(cards)) == [("card", c) for c in cards]
