@@ -119,10 +119,14 @@ _RUN_PART = re.compile(rf"(?P<digit>{_DIGIT_WORD})|(?P<number>[0-9]+)|(?P<dot>{_
 _STRANGE = re.compile(r"[^\x00-ɏ‐-‟…€\s]|\xad")
 #: What a text needs to hold before the costlier patterns look at it; for RE2, which reads a text once.
 MAY_BE_PLAIN = r"@|\+[0-9]|[0-9](?:[ -]?[0-9]){11}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
+#: Python's white space, of which RE2's class has only a part; the rest is beyond U+024F.
+_GAP = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}]"
+_GAP_IN = _GAP[1:-1]
 MAY_BE_DISGUISED = (
     r"[^\x00-\x{24F}\x{2010}-\x{201F}\x{2026}\x{20AC}\s]|\x{AD}"
-    + rf"|[\[({{<]\s*(?:{_AT}|@|{_DOT}|\.)\s*[\])}}>]|\s@\s|\s(?:{_DOT})\s"
-    + rf"|\b(?:{_DIGIT_WORD})\b(?:[\s,.-]{{0,2}}(?:{_DIGIT_WORD}|{_DOT}|[0-9]+|\.)){{2}}|[0-9](?:[\s,-]{{1,2}}(?:{_DIGIT_WORD})\b){{3}}"
+    + rf"|[\[({{<]{_GAP}*(?:{_AT}|@|{_DOT}|\.){_GAP}*[\])}}>]|{_GAP}@{_GAP}|{_GAP}(?:{_DOT}){_GAP}"
+    + rf"|(?:@|{_GAP}(?:{_AT}){_GAP}+){_LABEL}(?:\.{_LABEL})*{_GAP}\.{_GAP}|{_GAP}\.{_GAP}{_NAME}(?:\.{_NAME})*@"
+    + rf"|(?:^|[^A-Za-z0-9])(?:{_DIGIT_WORD})\b(?:[{_GAP_IN},.-]{{0,2}}(?:{_DIGIT_WORD}|{_DOT}|[0-9]+|\.)){{2}}|[0-9](?:[{_GAP_IN},-]{{1,2}}(?:{_DIGIT_WORD})\b){{3}}"
 )
 
 

@@ -47,3 +47,16 @@ def test_one_card_over_two_lines_is_still_found():
 def test_many_cards_of_one_run():
     cards = [spelled(CARD, ", ")] * 9
     assert found(" . ".join(cards)) == [("card", c) for c in cards]
+
+
+def test_every_rewritten_text_fires_the_trigger():
+    import random
+
+    rng = random.Random(1)
+    some = ["jane", "firm", "com", "pl", "@", ".", " . ", " ", "\xa0", "\x0b", " at ", " dot ", "[at]", "(dot)", "one", "two", "three", "4", ",", "_", "-", "plus ", "\n"]
+    texts = ["".join(rng.choices(some, k=rng.randrange(3, 14))) for _ in range(60_000)] + ["jane@firm . com", "jane . doe@firm.com", "jane at firm . com", "jane\xa0at\xa0firm\xa0dot\xa0com"]
+    fast = pii.spans_of(pa.array(texts))
+    whole = [pii.spans(t) for t in texts]
+    assert [t for t, x, y in zip(texts, fast, whole) if x != y] == []
+    assert sum(a != b for a, b in whole) > 50
+    assert found("write jane@firm . com now") == [("email", "jane@firm . com")]
