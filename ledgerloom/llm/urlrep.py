@@ -8,8 +8,8 @@ the bad rate is over the threshold is blocked; a host without outcomes inherits
 Explicit rules come first: of those whose host is the url's or a parent of it and whose path begins the url's, the longest
 decides.
 
-Outcomes are counted by host before anything is shuffled, and only the counts of the few hosts that are blocked meet
-the pages again, so a host with a third of all pages costs no more than another.
+Outcomes are counted by host before anything is shuffled, levels meet the distinct hosts of the pages, and only the hosts that are
+blocked meet the pages again, so a host with a third of all pages costs no more than another.
 
 Defined results: a null url, and one without `://`, has empty host and path and is judged like a host without outcomes; a
 null page_id is carried along; repeated rows are judged each; outcomes that are null are not counted; without any outcome
@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,31 +80,51 @@ def levels(host: Column) -> tuple[Column, Column]:
     return F.when(F.size(labels) >= 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(host), F.element_at(labels, -1)
 
 
-def posteriors(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, lower) from `outcomes` (host, bad 0/1 or null)."""
+def _lower(mean: Column, total: Column) -> Column:
+    return F.greatest(F.lit(0.0), mean - BOUND * F.sqrt(mean * (1 - mean) / (total + 1)))
+
+
+def _by_level(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Hosts with their posteriors, and for a host without outcomes the lower bounds by domain, by suffix and of the whole: what
+    is above the first level without outcomes is its prior."""
     domain, suffix = levels(F.col("host"))
     hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).withColumn("domain", domain).withColumn("suffix", suffix)
+    hosts = written(hosts, "hosts")  # all levels are counted from it
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg((F.sum("bad") / F.sum("n").cast("double")).alias("prior"))
 
-    def shrunk(groups: DataFrame, key: str) -> DataFrame:
-        one = _strength(groups, key, "prior")
+    def shrunk(groups: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        one = written(_strength(groups, key, "prior"), "strength")
         a = F.col("bad") + F.col("prior") * F.col("strength")
         total = F.col("n") + F.col("strength")
-        return groups.crossJoin(F.broadcast(one)).withColumn("mean", a / total).withColumn("total", total)
+        return groups.crossJoin(F.broadcast(one)).withColumn("mean", a / total).withColumn("total", total), one
+
+    def unseen(priors: DataFrame, strength: DataFrame, name: str) -> DataFrame:
+        return priors.crossJoin(F.broadcast(strength)).withColumn(name, _lower(F.col("prior"), F.col("strength"))).drop("prior", "strength")
 
-    s = shrunk(suffixes.crossJoin(F.broadcast(whole)), "suffix").select("suffix", F.col("mean").alias("prior"))
-    d = shrunk(domains.join(s, "suffix"), "domain").select("domain", F.col("mean").alias("prior"))
-    h = shrunk(hosts.join(d, "domain"), "host")
-    lower = F.col("mean") - BOUND * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1))
-    return h.select("host", "n", "bad", "mean", F.greatest(F.lit(0.0), lower).alias("lower"))
+    s, of_suffixes = shrunk(suffixes.crossJoin(F.broadcast(whole)), "suffix")
+    s = written(s.select("suffix", F.col("mean").alias("prior")), "suffixes")
+    d, of_domains = shrunk(domains.join(s, "suffix"), "domain")
+    d = written(d.select("domain", F.col("mean").alias("prior")), "domains")
+    h, of_hosts = shrunk(hosts.join(d, "domain"), "host")
+    h = h.select("host", "n", "bad", "mean", _lower(F.col("mean"), F.col("total")).alias("lower"))
+    return h, unseen(d, of_hosts, "_domain"), unseen(s, of_domains, "_suffix"), unseen(whole, of_suffixes, "_whole")
+
+
+def posteriors(outcomes: DataFrame) -> DataFrame:
+    """(host, n, bad, mean, lower) from `outcomes` (host, bad 0/1 or null)."""
+    return _by_level(outcomes)[0]
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of `pages` (page_id, url), from `outcomes` (host, bad)."""
-    bad = posteriors(outcomes).where(F.col("lower") > threshold).select(F.col("host").alias("bad_host"))
+    own, by_domain, by_suffix, whole = _by_level(outcomes)
     parts = with_parts(pages.select("page_id", "url"))
+    domain, suffix = levels(F.col("host"))
+    hosts = parts.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
+    known = hosts.join(own.select("host", F.col("lower").alias("_host")), "host", "left").join(by_domain, "domain", "left").join(by_suffix, "suffix", "left").crossJoin(F.broadcast(whole))
+    bad = written(known.where(F.coalesce("_host", "_domain", "_suffix", "_whole") > threshold).select(F.col("host").alias("bad_host")), "bad")
     name, verdict = ruled(rules, F.col("host"), F.col("path"))
     joined = parts.join(bad, parts.host == bad.bad_host, "left")
     by_method = F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")
