@@ -648,7 +648,8 @@ def btc_fee(spark, d):
 def internal_call_tree(spark, d):
     f = view(spark, d, "v_event_raw").groupBy("tx_hash", F.col("outer_index").alias("frame_id")).agg(F.max("delta_n").alias("value"))
     frames = f.select("tx_hash", "frame_id", F.when(F.col("frame_id") > 1, F.col("frame_id") - 1).alias("parent_id"), F.lit("a").alias("from"), F.lit("b").alias("to"), "value", F.lit(False).alias("failed"))
-    return evm.internal_frames(frames).select("tx_hash", "frame_id", "depth")
+    watched = spark.createDataFrame([("b",)], "address string")
+    return evm.internal_transfers(frames, watched).select("tx_hash", "frame_id", "depth")
 
 
 def _payloads(spark, d, body: str) -> DataFrame:

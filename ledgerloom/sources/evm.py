@@ -6,6 +6,9 @@ joined on the address, so their number may grow.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,18 +78,43 @@ def receipt_logs(receipts: DataFrame, wanted: list[str | None]) -> DataFrame:
     return rows.where(matches_topics(F.col("log.topics"), wanted)).select("block_number", "tx_hash", "tx_index", "place", "log")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` as Parquet to the shared folder and reads it back, so that plans of rounds stay short."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def internal_frames(frames: DataFrame) -> DataFrame:
-    """S7 over (tx_hash, frame_id, parent_id, from, to, value, failed): each frame with its depth, below the roots.
+    """The call trees of S7 over (tx_hash, frame_id, parent_id, from, to, value, failed): each frame with its depth, below the roots.
 
-    Recursive SQL: as many rounds as the deepest call. A failed call undoes all below it, so its branch is left out.
+    A failed call undoes all below it, so its branch is left out. Each round doubles the steps that a frame has gone up, over written
+    tables, so there are as many rounds as the depth of the deepest call has binary digits, and no bound on rows or depth.
     """
-    frames.createOrReplaceTempView("_call_frames")
-    return frames.sparkSession.sql("""
-        WITH RECURSIVE tree AS (
-          SELECT tx_hash, frame_id, `from`, `to`, value, 0 AS depth FROM _call_frames WHERE parent_id IS NULL AND NOT failed
-          UNION ALL
-          SELECT f.tx_hash, f.frame_id, f.`from`, f.`to`, f.value, t.depth + 1 FROM _call_frames f JOIN tree t ON f.tx_hash = t.tx_hash AND f.parent_id = t.frame_id WHERE NOT f.failed)
-        SELECT * FROM tree""")
+    keep = frames.where("not failed")
+    now = _written(keep.select("tx_hash", "frame_id", F.col("parent_id").alias("_up"), F.col("parent_id").isNotNull().cast("int").alias("depth"), "from", "to", "value"), "frames")
+    left = None
+    while True:
+        open_ = now.where("_up is not null").count()
+        if not open_ or open_ == left:  # what no longer changes goes round in a circle
+            break
+        left = open_
+        above = now.select(F.col("tx_hash").alias("_tx"), F.col("frame_id").alias("_frame"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))
+        step = now.where("_up is not null").join(above, (F.col("tx_hash") == F.col("_tx")) & (F.col("_up") == F.col("_frame")))
+        up = step.select("tx_hash", "frame_id", F.col("_next").alias("_up"), (F.col("depth") + F.col("_more")).alias("depth"), "from", "to", "value")
+        now = _written(now.where("_up is null").unionAll(up), "frames")
+    return now.where("_up is null").select("tx_hash", "frame_id", "from", "to", "value", "depth")
+
+
+def internal_transfers(frames: DataFrame, watched: DataFrame) -> DataFrame:
+    """The frames of internal_frames() that move value from or to one of watched (address), each once a frame."""
+    w = watched.select(F.lower(F.trim("address")).alias("_watched")).distinct()
+    tree = internal_frames(frames).where("value <> 0")
+    party = lambda c: F.lower(F.trim(F.col(c)))
+    by_from = tree.join(w, party("from") == F.col("_watched"), "left").withColumn("_from", F.col("_watched").isNotNull()).drop("_watched")
+    by_to = by_from.join(w, party("to") == F.col("_watched"), "left")
+    return by_to.where(F.col("_from") | F.col("_watched").isNotNull()).drop("_from", "_watched")
 
 
 def scan(txs: DataFrame, logs: DataFrame, watched: DataFrame) -> DataFrame:

@@ -68,6 +68,16 @@ def test_call_tree(spark):
     assert {(r.frame_id, r.depth) for r in evm.internal_frames(frames).collect()} == {(1, 0), (2, 1)}
 
 
+def test_deep_call_tree_and_watched_parties(spark):
+    kind = "tx_hash string, frame_id int, parent_id int, from string, to string, value long, failed boolean"
+    deep = spark.range(1, 301).selectExpr("'t' as tx_hash", "cast(id as int) as frame_id", "cast(nullif(id - 1, 0) as int) as parent_id", "'a' as `from`", "'b' as `to`", "id as value", "false as failed")
+    circle = spark.createDataFrame([("u", 1, 2, "a", "b", 5, False), ("u", 2, 1, "a", "b", 5, False), ("u", 3, 9, "a", "b", 5, False)], kind)
+    assert {(r.tx_hash, r.frame_id, r.depth) for r in evm.internal_frames(deep.unionAll(circle)).collect()} == {("t", i, i - 1) for i in range(1, 301)}
+    rows = [("t", 1, None, "x", "y", 9, False), ("t", 2, 1, " A ", "y", 5, False), ("t", 3, 2, "y", "a", 6, False), ("t", 4, 3, "a", "y", 0, False), ("t", 5, 3, "a", "A", 1, False)]
+    got = evm.internal_transfers(spark.createDataFrame(rows, kind), watched(spark, "a")).collect()
+    assert sorted((r.frame_id, r.depth) for r in got) == [(2, 1), (3, 2), (5, 3)]
+
+
 def test_btc(spark):
     p = {"txid": "t", "block_height": 7, "confirmations": 1, "vin": [{"index": 0, "address": "x", "value_sat": "100"}, {"index": 1, "address": "w", "value_sat": "50", "coinbase": True}], "vout": [{"index": 0, "address": "y", "value_sat": "60"}, {"index": 1, "address": "x", "value_sat": "30"}]}
     df = spark.createDataFrame([("t", json.dumps(p))], "signature string, payload string")
