@@ -132,15 +132,16 @@ def components(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each group of near copies: that with the smallest id.
+    """One row of `docs` for each group of near copies: that with the smallest id, and of those the smallest text hash.
 
-    Of several rows with that id, the one with the smallest text hash stays. Rows without an id stay: no id names them.
+    Rows are known by id and text, so an id that repeats with other texts keeps a row in each group that it leads. Rows without an id
+    stay: no id names them.
     """
     sets = written(sets_of(docs), "shingled")
-    least = sets.groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
     groups = written(components(docs, sets), "groups")
-    ids = least.join(groups, least.set_id == groups.node, "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("least_id").alias("doc_id")).select("doc_id")
-    kept = written(ids.where("doc_id is not null").distinct(), "kept")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    least = sets.where("doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    of_group = least.join(groups, least.set_id == groups.node, "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("row").alias("row"))
+    kept = written(of_group.select("row.*").distinct(), "kept")
+    first = Window.partitionBy("doc_id", "_hash").orderBy(F.col("text").asc_nulls_first())
+    named = docs.where("doc_id is not null").withColumn("_hash", text_hash()).join(kept.withColumnRenamed("text_hash", "_hash").hint("merge"), ["doc_id", "_hash"], "left_semi")
+    return named.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns).unionAll(docs.where("doc_id is null"))

@@ -64,3 +64,10 @@ def test_stage_on_the_test_tables(spark, data):
     out = corpus_pipeline.near_dedup(spark, docs, "")
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {rows[i][0] for i in groups_brute([t for _, t in rows])}
+
+
+def test_a_repeated_id_keeps_a_row_in_each_group(spark):
+    a, b = "a text of some seven words here", "another text of quite other words"
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, a)], DOCS)
+    got = likeness.representatives(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, a), (1, a), (5, b)]
