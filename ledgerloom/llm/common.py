@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts of 100 kB each still make batches of some 50 MB only.
+#: Rows in an Arrow batch, unless the caller has set another number. Spark ends a batch earlier at 64 MB
+#: (spark.sql.execution.arrow.maxBytesPerBatch), so very long texts do not add up.
 BATCH_ROWS = 512
+#: Rows of a few numbers each, some 100 bytes in a broadcast, up to which few() has a side sent to every executor.
+FEW_ROWS = 400_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = Path(__file__).resolve().parents[2]
 #: Bytes that one call handles at a time where work on a text needs several arrays of its length.
 CHUNK_BYTES = 1 << 20
@@ -30,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def shipped(spark: SparkSession) -> SparkSession:
     """Makes this package importable in Python workers that were not started with its folder in their path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's own default
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) in known or os.getcwd() == str(ROOT) or getattr(spark.sparkContext, "_ledgerloom_shipped", False):
         return spark
@@ -69,29 +74,59 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows, for jobs that run inside the block on a few numbers a row."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for shared intermediates. Only where it is unset (tests), a temporary one is set."""
+    """The folder that the cluster names for shared intermediates. A local session may leave it unset and gets a temporary one; a cluster
+    may not, as its executors share no temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not getattr(sc, "_ledgerloom_dir", None):
         sc._ledgerloom_dir = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
     return sc._ledgerloom_dir
 
 
+def _noted(spark: SparkSession) -> list[str]:
+    """The folders of intermediates that this session has written and not yet deleted."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_ledgerloom_written"):
+        sc._ledgerloom_written = []
+    return sc._ledgerloom_written
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which clean() will delete."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _noted(spark).append(path)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _noted(spark):
+        _noted(spark).remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediates of this session. Results that have not been read yet may need them, so the caller says when."""
+    for path in list(_noted(spark)):
+        deleted(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
@@ -103,9 +138,22 @@ def dropped(df: DataFrame) -> None:
     """Deletes what written() made for `df`, if nothing will read it again."""
     path = getattr(df, "written_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        deleted(df.sparkSession, path)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: to be broadcast if it is counted to have no more than FEW_ROWS; else as it is, and a
+    join deals both sides."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, which no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
 
 
 def text_column(name: str = "text"):
