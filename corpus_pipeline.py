@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import gam, likeness, packing, pii, rules
-from ledgerloom.llm.common import table, written
+from ledgerloom.llm.common import dropped, table, written
 from ledgerloom.llm.queries import BYTE_BPE, documents, labels, tokenizer_path
 
 OWN = "_pipeline_"
@@ -58,8 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of `documents`."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        after = written(stage(spark, docs, sf_dir), name)
+        dropped(docs)  # what an earlier stage wrote; the tables of the input stay
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
