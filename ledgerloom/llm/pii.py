@@ -11,7 +11,8 @@ where some sign is bracketed), `dot` after such an
 `at` or between digits, spelled digits only in runs. So prose is left alone. Texts without any trigger are not rewritten.
 
 Defined results: a null or empty text has no spans; a null id is carried along; extra columns are not read; an empty table gives
-no rows; rows with equal ids are searched each.
+no rows; rows with equal ids are searched each. redacted() leaves a null text null and an empty one empty, keeps all rows and columns,
+and puts one name for spans that overlap.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -172,20 +174,54 @@ def card_ends(items: list[re.Match]) -> set[int]:
     return out - {-1}
 
 
+def ip_ends(items: list[re.Match]) -> set[int]:
+    """Places of the gaps of a run with dots that end an identifier: at commas and new lines where that leaves whole addresses or cards, and
+    between addresses that follow each other, whose last and first part stand together."""
+    atoms: list[tuple[int, str]] = []  # place of the gap before, text
+    for k, p in enumerate(items):
+        if not p["gap"]:
+            atoms.append((k - 1 if k and items[k - 1]["gap"] else -1, DIGITS[p["digit"].lower()] if p["digit"] else "." if p["dot"] else "+" if p["plus"] else p["number"]))
+    if not any(t == "." for _, t in atoms):
+        return set()
+    lists: list[list[tuple[int, str]]] = []
+    for gap, t in atoms:
+        if not lists or gap >= 0 and re.search(r"[\r\n,]", items[gap][0]):
+            lists.append([])
+        lists[-1].append((gap, t))
+    texts = ["".join(t for _, t in x) for x in lists]
+    pieces = _tiled(texts, lambda t: _is_ip(t) or _is_card(t))
+    some = any(_is_ip("".join(texts[i : i + n])) for i, n in pieces)
+    out = {lists[i][0][0] for i, _ in pieces} if some else set()
+    for part in [[a for x in lists[i : i + n] for a in x] for i, n in pieces] if some else [atoms]:
+        groups: list[list[tuple[int, str]]] = [[]]
+        for a in part:
+            groups.append([]) if a[1] == "." else groups[-1].append(a)
+        if len(groups) > 4 and len(groups) % 3 == 1 and all(groups):
+            for g in groups[3:-1:3]:
+                whole = lambda x: _is_ip("0.0.0." + "".join(t for _, t in x))
+                out.update([g[c][0] for c in range(1, len(g)) if whole(g[:c]) and whole(g[c:])][:1])
+    return out - {-1, atoms[0][0]}
+
+
+def _is_ip(text: str) -> bool:
+    parts = text.split(".")
+    return len(parts) == 4 and all(p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+
+
 def _is_card(digits: str) -> bool:
-    return 12 <= len(digits) <= 19 and luhn(digits)
+    return 12 <= len(digits) <= 19 and digits.isdigit() and luhn(digits)
 
 
-def _tiled(units: list[str]) -> list[tuple[int, int]]:
-    """Consecutive units as (first, how many), so that the most digits are in cards; units of no card stand alone."""
-    best: list[tuple[int, int]] = [(0, 0)]  # digits in cards so far, units of the last piece
+def _tiled(units: list[str], fits: Callable[[str], bool] = _is_card) -> list[tuple[int, int]]:
+    """Consecutive units as (first, how many), so that the most characters are in pieces that fit; units of none stand alone."""
+    best: list[tuple[int, int]] = [(0, 0)]  # characters in such pieces so far, units of the last piece
     for k in range(1, len(units) + 1):
         options, joined = [(best[k - 1][0], 1)], ""
         for n in range(1, k + 1):
             joined = units[k - n] + joined
             if len(joined) > 19:
                 break
-            if _is_card(joined):
+            if fits(joined):
                 options.append((best[k - n][0] + len(joined), n))
         best.append(max(options))
     out, k = [], len(units)
@@ -257,7 +293,7 @@ class Rewritten:
             items = list(_RUN_PART.finditer(self.text, m.start(), m.end()))
             if sum(p["digit"] is not None for p in items) < 3:
                 continue
-            ends = card_ends(items)
+            ends = card_ends(items) | ip_ends(items)
             for k, p in enumerate(items):
                 c = "\n" if k in ends else DIGITS[p["digit"].lower()] if p["digit"] else "." if p["dot"] else "+" if p["plus"] else "" if p["gap"] else p["number"]
                 if c != p[0]:

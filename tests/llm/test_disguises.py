@@ -60,3 +60,42 @@ def test_every_rewritten_text_fires_the_trigger():
     assert [t for t, x, y in zip(texts, fast, whole) if x != y] == []
     assert sum(a != b for a, b in whole) > 50
     assert found("write jane@firm . com now") == [("email", "jane@firm . com")]
+
+
+def spelled_ip(address):
+    return " ".join("dot" if c == "." else WORDS[int(c)] for c in address)
+
+
+@pytest.mark.parametrize("gap", [", ", "\n", " and ", " "])
+def test_neighbouring_addresses_are_both_found(gap):
+    a, b = spelled_ip("192.168.1.1"), spelled_ip("10.0.0.1")
+    assert found(f"from {a}{gap}{b} on") == [("ip", a), ("ip", b)]
+
+
+def test_identifiers_of_two_kinds_side_by_side():
+    ip, card, phone = spelled_ip("192.168.1.1"), spelled(CARD), "plus " + spelled("4915123456789")
+    for first, second in ((("ip", ip), ("card", card)), (("card", card), ("ip", ip)), (("phone", phone), ("ip", ip)), (("phone", phone), ("phone", phone)), (("ip", ip), ("phone", phone))):
+        for gap in (", ", "\n", " and "):
+            text = f"{first[1]}{gap}{second[1]}"
+            assert found(text) == [first, second], text
+
+
+def test_random_lists_of_identifiers():
+    """Any number of disguised identifiers with words or list separators between them: each is found from end to end."""
+    import random
+
+    rng = random.Random(11)
+    make = {
+        "ip": lambda: spelled_ip(".".join(str(rng.randrange(256)) for _ in range(4))),
+        "card": lambda: spelled(rng.choice([CARD, OTHER, "378282246310005"])),
+        "phone": lambda: "plus " + spelled(str(rng.randrange(10**9, 10**11))),
+        "email": lambda: f"{rng.choice(['jane', 'bob.k'])}{rng.choice([' [at] ', '(at)', ' at '])}{rng.choice(['corp', 'my.firm'])}{rng.choice([' [dot] ', ' dot '])}{rng.choice(['com', 'org', 'de'])}",
+    }
+    for _ in range(400):
+        kinds = rng.choices(list(make), k=rng.randrange(2, 6))
+        parts, text, want = [make[k]() for k in kinds], "", []
+        for k, p in zip(kinds, parts):
+            text += rng.choice(["; ", " and ", " or then "]) if text else ""
+            want.append((k, p))
+            text += p
+        assert found(text) == want, text
