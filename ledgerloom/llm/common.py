@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Rows of a few numbers each, some 100 bytes in a broadcast, up to which few() has a side sent to every executor.
 FEW_ROWS = 400_000
+#: Estimated bytes of an input up to which spread() deals it to all cores.
+SMALL_BYTES = 32 << 20
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = Path(__file__).resolve().parents[2]
 #: Bytes that one call handles at a time where work on a text needs several arrays of its length.
@@ -147,6 +149,16 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of `df` as Spark's optimiser estimates them, from the sizes of the files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which may stand in one row group, dealt to all cores; a larger one as it is, without a shuffle."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size_of(df) <= SMALL_BYTES else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of an operator's own, which no column of `df` has."""
     taken = {c.lower() for c in df.columns}
@@ -156,6 +168,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [prefix + n for n in names]
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of `df` begins with."""
+    prefix = "_own_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def text_column(name: str = "text"):
     """The column with null read as the empty text."""
     return F.coalesce(F.col(name), F.lit("")).alias(name)

@@ -1,6 +1,7 @@
 """URL filters: empirical-Bayes host reputation, all in DataFrame expressions.
 
-Labelled page outcomes are counted by host, registered domain (last two labels) and suffix (last label). Each level's rate
+Labelled page outcomes are counted by host, registered domain (the suffix and one label more) and suffix (the last label, or two where a
+country's code follows one of a few names such as `co`). Each level's rate
 has a beta prior whose mean is the posterior mean of the level above; its strength comes from how much more the rates
 of that level's groups differ than chance would have them (method of moments). A host whose lower posterior bound of
 the bad rate is over the threshold is blocked; a host without outcomes inherits its domain's or suffix's posterior.
@@ -41,6 +42,8 @@ class Rule:
 
 #: Fixed values of the contract.
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
+#: Labels under which registrars of two-letter countries sell names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "go", "gob", "gouv", "ne", "net", "or", "org")
 #: Standard deviations below the posterior mean, bad rate that blocks, and range of a prior's strength.
 BOUND, THRESHOLD, WEAKEST, STRONGEST = 1.645, 0.5, 2.0, 500.0
 
@@ -77,7 +80,9 @@ def _strength(groups: DataFrame, key: str, parent_mean: str) -> DataFrame:
 def levels(host: Column) -> tuple[Column, Column]:
     """Registered domain and suffix of a host."""
     labels = F.split(host, "\\.")
-    return F.when(F.size(labels) >= 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(host), F.element_at(labels, -1)
+    n = F.when((F.size(labels) >= 3) & F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.get(labels, F.size(labels) - 2).isin(*SECOND_LEVEL), 2).otherwise(1)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - k + 1), k), ".")
+    return last(n + 1), last(n)
 
 
 def _lower(mean: Column, total: Column) -> Column:

@@ -35,3 +35,33 @@ def test_bound_of_an_unseen_host_is_that_of_its_prior(spark):
     low = {r.domain: r._domain for r in d.collect()}["bad.info"]
     mean = 0.9
     assert abs(low - (mean - urlrep.BOUND * math.sqrt(mean * (1 - mean) / (urlrep.WEAKEST + 1)))) < 1e-6
+
+
+def test_country_suffixes_are_not_one_domain(spark):
+    rows = [(f"h{i}.bad.co.uk", 1) for i in range(10) for _ in range(40)] + [(f"h{i}.d{k}.co.uk", 0) for i in range(3) for k in range(12) for _ in range(40)]
+    got = verdicts(spark, rows, ["new.bad.co.uk", "bad.co.uk", "new.d1.co.uk", "other.co.uk", "co.uk"])
+    assert got == {"new.bad.co.uk": "block", "bad.co.uk": "block", "new.d1.co.uk": "allow", "other.co.uk": "allow", "co.uk": "allow"}
+
+
+def test_sql_on_pages_of_unseen_hosts(spark, tmp_path):
+    """The SQL and the query agree where hosts inherit: from a bad domain, a bad suffix, and with odd urls."""
+    import duckdb
+
+    from ledgerloom.llm.queries import ORACLE_SQL, QUERIES
+
+    urls, labels = [], []
+    for host, bad, n in [("h1.bad.info", 1, 40), ("h2.bad.info", 1, 40), ("h3.bad.info", 1, 40), ("ok.info", 0, 90), ("a.good.de", 0, 50), *[(f"h.d{k}.spam", 1, 30) for k in range(9)], ("x.y.co.uk", 0, 30)]:
+        for _ in range(n):
+            labels.append((len(labels), 1 - bad, 0))
+            urls.append(f"https://{host}/p/{len(labels) - 1}.html")
+    urls += ["http://NEW.bad.info/a", "http://never.spam", "http://q.w.spam/x?y", "http://un.known/", "x", None, "http://z.co.uk/", "a://b.c.co.uk#f", "http://h1.bad.info/p/x"]
+    spark.createDataFrame(list(enumerate(urls)), PAGES).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["op5_url_filter"])
+    got = QUERIES["op5_url_filter"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    verdict = {r.host: r.verdict for r in got}
+    assert verdict["new.bad.info"] == verdict["never.spam"] == verdict["q.w.spam"] == "block" and verdict["un.known"] == verdict["z.co.uk"] == "allow"
