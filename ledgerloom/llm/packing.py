@@ -10,7 +10,8 @@ Every partition packs by itself, in blocks of a bounded number of examples: no s
 and a lost task packs its own partition again in the same way. The cost is one part-filled sequence a partition.
 
 Defined results: a null or empty text has only its end identifier; a null id is carried along; rows with equal ids are
-separate examples; extra columns are not read; an empty table gives no rows. An example that is over a limit by itself is cut
+separate examples; extra columns are not read; an empty table gives no rows. In pack_examples() a null number is 0, and an example
+without tokens has no piece. An example that is over a limit by itself is cut
 into whole sequences, with `cut` or without, as nothing else can hold it.
 """
 
@@ -96,10 +97,11 @@ class Packer:
             yield self.take(item, head, n - head, n - head)
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 64, max_loss: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Packs all texts of `docs` (doc_id, text) as examples whose every token bears loss; one row per piece."""
+def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int | None = None, max_loss: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Packs all texts of `docs` (doc_id, text) as examples whose every token bears loss; one row per piece. Without a limit of segments
+    as many short texts share a sequence as it holds."""
     shipped(docs.sparkSession)
-    limits = (max_tokens, max_segments, max_loss or max_tokens)
+    limits = (max_tokens, max_segments or max_tokens, max_loss or max_tokens)
     end = np.array([end_id], "<u4").tobytes()
     names = [x.rsplit(" ", 1)[0].strip() for x in SCHEMA.split(",")]
 

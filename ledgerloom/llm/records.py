@@ -30,14 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import shared_dir, shipped, text_column
-from ledgerloom.llm.tokenise import pieces
+from ledgerloom.llm.common import new_folder, shipped, size_of, text_column
+from ledgerloom.llm.tokenise import id_width, narrowed, pieces
 
 #: The reflected Castagnoli polynomial and the mask of the public record format.
 POLYNOMIAL = 0x82F63B78
 MASK_ADD, MASK_SHIFT = 0xA282EAD8, 15
 #: Bytes gathered before they are framed and written.
 FLUSH = 4 << 20
+#: Bytes of texts for one file, by Spark's estimate, where the session's shuffle partitions would make larger ones.
+FILE_BYTES = 1 << 28
 
 
 @lru_cache(1)
@@ -122,8 +124,7 @@ def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def payload(doc: int | None, ids: bytes, width: int) -> bytes:
-    body = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
-    return struct.pack("<qBB", doc or 0, doc is None, width) + body
+    return struct.pack("<qBB", doc or 0, doc is None, width) + narrowed(ids, width)
 
 
 def parsed(data: bytes) -> tuple[int | None, np.ndarray]:
@@ -132,10 +133,12 @@ def parsed(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if none else doc, np.frombuffer(data, "<u2" if width == 2 else "<u4", offset=10)
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, width: int = 2) -> tuple[str, list[dict]]:
-    """Writes all texts of `docs` (doc_id, text) in ascending id order; returns the folder and a row per file."""
+def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, width: int | None = None) -> tuple[str, list[dict]]:
+    """Writes all texts of `docs` (doc_id, text) in ascending id order; returns the folder and a row per file. Ids take `width` bytes, or
+    what the vocabulary needs."""
     spark = shipped(docs.sparkSession)
-    folder = folder or f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    width = width or id_width(tokenizer, end_id)
+    folder = folder or new_folder(spark, "records")
     fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
     end = np.array([end_id], "<u4").tobytes()
@@ -180,7 +183,10 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
         if count:
             yield pa.RecordBatch.from_pydict({"part": [n], "records": [count], "ids": [n_ids], "bytes": [at]}, pa.schema([(c, pa.int64()) for c in ("part", "records", "ids", "bytes")]))
 
-    ordered = docs.select("doc_id", text_column()).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    source = docs.select("doc_id", text_column())
+    n = -(-size_of(source) // FILE_BYTES)
+    dealt = source.repartitionByRange(n, "doc_id") if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else source.repartitionByRange("doc_id")
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     files = sorted((r.asDict() for r in ordered.mapInArrow(run, "part long, records long, ids long, bytes long").collect()), key=lambda r: r["part"])
     return folder, files
 

@@ -26,22 +26,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import shared_dir, shipped, text_column
+from ledgerloom.llm.common import new_folder, shipped, text_column
 from ledgerloom.llm.records import FLUSH, opened
-from ledgerloom.llm.tokenise import pieces
+from ledgerloom.llm.tokenise import id_width, narrowed, pieces
 
 #: Ids in a block.
 BLOCK = 1 << 20
 WIDTHS = {2: "<u2", 4: "<u4"}
 
 
-def write_flat(docs: DataFrame, tokenizer: str, separator: int, folder: str | None = None, width: int = 2) -> tuple[str, list[dict]]:
-    """Writes `docs` (doc_id, text) as they come, a file `part-n.bin` per partition, and the ids of its documents to `part-n.ids`.
+def write_flat(docs: DataFrame, tokenizer: str, separator: int, folder: str | None = None, width: int | None = None) -> tuple[str, list[dict]]:
+    """Writes `docs` (doc_id, text) as they come, a file `part-n.bin` per partition, and the names (not the places) of its documents to
+    `part-n.ids`. Ids take `width` bytes, or what the vocabulary needs.
 
-    Returns the folder and (part, ids) per file.
+    Returns the folder and (part, ids, width) per file.
     """
     spark = shipped(docs.sparkSession)
-    folder = folder or f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
+    width = width or id_width(tokenizer, separator)
+    folder = folder or new_folder(spark, "flat")
     fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
     end = np.array([separator], WIDTHS[width]).tobytes()
@@ -57,7 +59,7 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, folder: str | No
             held = 0
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    waiting += (np.frombuffer(tokens.encode(text), "<u4").astype(WIDTHS[width]).tobytes(), end)
+                    waiting += (narrowed(tokens.encode(text), width), end)
                     held += len(waiting[-2]) + width
                     some = True
                     g.write(struct.pack("<qB", doc or 0, doc is None))
@@ -76,7 +78,7 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, folder: str | No
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (n, total)], names=["part", "ids"])
 
     read = docs.select("doc_id", text_column())
-    return folder, sorted((r.asDict() for r in read.mapInArrow(run, "part long, ids long").collect()), key=lambda r: r["part"])
+    return folder, sorted((r.asDict() | {"width": width} for r in read.mapInArrow(run, "part long, ids long").collect()), key=lambda r: r["part"])
 
 
 def block_ids(f: pa.NativeFile, block: int, size: int, width: int) -> np.ndarray:
@@ -90,9 +92,11 @@ def blocks_of(spark: SparkSession, files: list[dict], size: int) -> DataFrame:
     return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("ids") - 1) / size)))))
 
 
-def scanned(spark: SparkSession, folder: str, files: list[dict], separator: int, width: int = 2, size: int = BLOCK) -> DataFrame:
-    """(doc_id, part, place, start, n_tokens) for every document of the files; start counts the ids before it in its file, separators too."""
+def scanned(spark: SparkSession, folder: str, files: list[dict], separator: int, width: int | None = None, size: int = BLOCK) -> DataFrame:
+    """(doc_id, part, place, start, n_tokens) for every document of the files; start counts the ids before it in its file, separators too.
+    Ids have `width` bytes, or as many as the files say, else 2."""
     shipped(spark)
+    width = width or max([r.get("width", 2) for r in files], default=2)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(folder)

@@ -111,3 +111,22 @@ class Pieces(dict):
 def pieces(path: str, literal: bool = False) -> Pieces:
     """One cache per worker process and tokenizer file."""
     return Pieces(path, literal=literal)
+
+
+@lru_cache(8)
+def id_width(path: str, *more: int) -> int:
+    """Bytes that an id of the tokenizer, or one of `more`, needs in a file: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()
+    return 2 if max(max(known, default=0), *more, 0) < 1 << 16 else 4
+
+
+def narrowed(ids: bytes, width: int) -> bytes:
+    """Little-endian ids of 4 bytes as ids of `width` bytes; an id that doesn't fit is an error."""
+    if width == 4:
+        return ids
+    every = np.frombuffer(ids, "<u4")
+    if len(every) and every.max() >= 1 << 8 * width:
+        raise ValueError(f"id {every.max()} needs more than {width} bytes")
+    return every.astype(f"<u{width}").tobytes()
