@@ -35,15 +35,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BASE and FEATURES of the texts of at most `max_rows` labelled documents, and their labels."""
+    """BASE and FEATURES of the texts of at most `max_rows` labelled rows, and their labels. The bound holds again after the join, where
+    an id may meet several rows."""
     picked = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     sample = docs.select("doc_id", text_column()).join(F.broadcast(picked), "doc_id")
+    kept = sample.select("text", "quality", "doc_id", F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("version"))
 
     def run(batch: pa.RecordBatch) -> dict:
         base, features = statistics(batch.column(0))
-        return {"quality": batch.column(1), "doc_id": batch.column(2), "base": pa.array(base.tolist(), pa.list_(pa.int64())), "features": pa.array(features.tolist(), pa.list_(pa.float64()))}
+        own = {c: batch.column(c) for c in ("quality", "doc_id", "place", "version")}
+        return own | {"base": pa.array(base.tolist(), pa.list_(pa.int64())), "features": pa.array(features.tolist(), pa.list_(pa.float64()))}
 
-    rows = in_arrow(sample.select("text", "quality", "doc_id"), run, "quality int, doc_id long, base array<long>, features array<double>").collect()
+    every = in_arrow(kept, run, "quality int, doc_id long, place long, version long, base array<long>, features array<double>")
+    rows = every.orderBy("place", "doc_id", "version", "quality").limit(max_rows).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.base))
     base, features = np.array([r.base for r in rows], np.int64), np.array([r.features for r in rows], float)
     return base.reshape(len(rows), len(BASE)), features.reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import in_arrow
+from ledgerloom.llm.common import in_arrow, own_prefix
 from ledgerloom.llm.gam import MAX_ROWS, labelled_features
 from ledgerloom.llm.textstats import BASE, FEATURES, statistics
 
@@ -131,18 +131,19 @@ def judged(docs: DataFrame, rules: list[Rule], *keep: str, prefix: str = "") ->
     columns = list(dict.fromkeys(["doc_id", "text", *keep]))
     used = sorted({c.feature for r in rules for c in r})
     source = docs.select(*columns)
+    stat = own_prefix(source)
 
     def run(batch: pa.RecordBatch) -> dict:
         base, features = statistics(batch.column("text"))
         out = {c: batch.column(c) for c in batch.schema.names if c != "text" or "text" in keep}
-        out |= {f"_stat_{name}": pa.array(base[:, k], pa.int64()) for k, name in enumerate(BASE)}
-        return out | {f"_stat_{FEATURES[k]}": pa.array(features[:, k], pa.float64()) for k in used}
+        out |= {f"{stat}{name}": pa.array(base[:, k], pa.int64()) for k, name in enumerate(BASE)}
+        return out | {f"{stat}{FEATURES[k]}": pa.array(features[:, k], pa.float64()) for k in used}
 
     kinds = dict(source.dtypes)
     fields = [c for c in source.columns if c != "text" or "text" in keep]
-    schema = [f"`{c}` {kinds[c]}" for c in fields] + [f"_stat_{n} long" for n in BASE] + [f"_stat_{FEATURES[k]} double" for k in used]
+    schema = [f"`{c}` {kinds[c]}" for c in fields] + [f"`{stat}{n}` long" for n in BASE] + [f"`{stat}{FEATURES[k]}` double" for k in used]
     stats = in_arrow(source, run, ", ".join(schema))
-    failed = (F.col("_stat_n_words") < 20) | (100 * F.col("_stat_n_repeat_words") > 30 * F.col("_stat_n_words"))
-    rule = verdict(rules, "_stat_")
-    made = {**{n: F.col(f"_stat_{n}") for n in BASE}, "base_failed": failed, "rule": rule, "kept": ~failed & (rule == 0)}
+    failed = (F.col(f"{stat}n_words") < 20) | (100 * F.col(f"{stat}n_repeat_words") > 30 * F.col(f"{stat}n_words"))
+    rule = verdict(rules, stat)
+    made = {**{n: F.col(f"{stat}{n}") for n in BASE}, "base_failed": failed, "rule": rule, "kept": ~failed & (rule == 0)}
     return stats.select(*[F.col(f"`{c}`") for c in fields], *[c.alias(prefix + n) for n, c in made.items()])

@@ -1,12 +1,14 @@
 """Word, line and character statistics of whole texts, by array operations over the UTF-8 bytes of a batch.
 
-Words are `[^\\x20\\x09-\\x0D]+`. Equal words, lines and 8-word windows of one text are found by 64-bit hashes of a
-random table; segments over 256 bytes are hashed by blake2b, so no crafted text can make them collide.
+Words are `[^\\x20\\x09-\\x0D]+`. Equal words, lines and 8-word windows of one text are found by 64-bit hashes. Those of up to 64 bytes are
+sums over powers of a base, which known sequences of bytes could make collide if base and table were known; so each process draws
+its own. Longer segments are hashed by blake2b with a key of the process. The statistics do not depend on what is drawn.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +19,18 @@ from ledgerloom.llm.common import CHUNK_BYTES, string_bytes
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WINDOW = 8
-LONG_SEGMENT = 256
+LONG_SEGMENT = 64
 #: What a quality model sees of a text. Ratios, so that a text and its repetition look alike.
 FEATURES = (
     "log_words", "word_length", "symbol_rate", "pipe_rate", "bang_rate", "upper_rate", "repeat_rate", "dup_line_rate", "adjacent_rate", "distinct_rate", "stop_rate", "comma_rate", "digit_rate", "line_rate", "other_rate", "long_word_rate",
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-_rng = np.random.default_rng(20240607)
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
+_SECRET = os.urandom(32)
+_rng = np.random.default_rng(int.from_bytes(_SECRET, "little"))
+_TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+#: 3 modulo 8: of such a base the powers that sums of few terms can cancel by have the fewest factors of two.
+_P = _rng.integers(0, 2**61, dtype=np.uint64) * np.uint64(8) + np.uint64(3)
 _P_INV = np.uint64(pow(int(_P), -1, 2**64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -51,7 +55,7 @@ def segment_hashes(raw: np.ndarray, sums: np.ndarray, inverse: np.ndarray, start
     """64-bit hashes of raw[start:end], equal for equal bytes."""
     h = _mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
     for i in np.flatnonzero(end - start > LONG_SEGMENT):
-        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, key=_SECRET).digest(), "little")
     return h
 
 
