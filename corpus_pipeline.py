@@ -1,7 +1,12 @@
 """A corpus pipeline: five stages, each on all that the one before it kept.
 
 Each function takes (spark, docs, sf_dir). All but the last return the columns of `docs`; every stage is written as
-Parquet and read again before the next.
+Parquet and read again before the next, and deleted once the next one is written.
+
+Defined results, by stage: the classifier scores a null or empty text as one without words; the rules drop it, as it has too few words;
+of null, empty and blank texts near_dedup keeps one, and of rows that repeat under one id with one text as well, while rows without an id
+stay; personal_data leaves null texts null; packing gives each document at least its end identifier. Columns besides `doc_id` and
+`text` pass through whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,22 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import gam, likeness, packing, pii, rules
-from ledgerloom.llm.common import dropped, table, written
+from ledgerloom.llm.common import dropped, own_prefix, table, written
 from ledgerloom.llm.queries import BYTE_BPE, documents, labels, tokenizer_path
 
-OWN = "_pipeline_"
-
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the additive model takes for label 0."""
     model = gam.fitted(documents(spark, sf_dir), labels(spark, sf_dir))
-    return gam.scored(docs, model, *docs.columns, prefix=OWN).where(F.col(f"{OWN}predicted") == 1).select(*docs.columns)
+    own = own_prefix(docs)
+    return gam.scored(docs, model, *docs.columns, prefix=own).where(F.col(f"{own}predicted") == 1).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that fail the base rules or meet a rule of the list, which is learned from all of `documents`."""
     found = rules.fitted(documents(spark, sf_dir), labels(spark, sf_dir))
-    return rules.judged(docs, found, *docs.columns, prefix=OWN).where(f"{OWN}kept").select(*docs.columns)
+    own = own_prefix(docs)
+    return rules.judged(docs, found, *docs.columns, prefix=own).where(F.col(f"{own}kept")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
