@@ -31,7 +31,7 @@ SHINGLE = 5
 #: Attempts at a filled bin before the rest of the random order is taken at once.
 ATTEMPTS = 12
 #: Rows in a range of ids.
-RANGE_ROWS = 4096
+RANGE_ROWS = 512
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
