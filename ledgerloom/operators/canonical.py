@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar as S
-from ledgerloom.operators.dedup import pick_winner
+from ledgerloom.operators.dedup import pick_first, pick_winner
 
 # Metadata keys that may name the finality (on slot-based chains in another order) and the data fee, in order.
 FINALITY_KEYS = ("finality_state", "finality", "confirmation_status", "commitment")
@@ -36,15 +36,20 @@ def up_to_cutoff(df: DataFrame, cutoff: Column, cursor: Column) -> DataFrame:
 
 
 def carried_over(df: DataFrame, cursor_sequence: int, batch: int) -> DataFrame:
-    """N5 over (chain, tx_hash, sequence), by chain: rows after the cursor first, the rest of the batch from the cursor's own
-    sequence by descending hash; all rows if none reaches the cursor."""
-    whole = Window.partitionBy("chain")
-    at = F.col("sequence")
-    marked = df.withColumn("_reach", F.max(at).over(whole) >= cursor_sequence).withColumn("_after", F.count(F.when(at > cursor_sequence, 1)).over(whole))
-    order = Window.partitionBy("chain", at > cursor_sequence).orderBy(F.col("tx_hash").desc())
-    ranked_ = marked.withColumn("_place", F.row_number().over(order))
-    keep = ~F.col("_reach") | (at > cursor_sequence) | ((at == cursor_sequence) & (F.col("_place") <= F.greatest(F.lit(0), batch - F.col("_after"))))
-    return ranked_.where(keep).drop("_reach", "_after", "_place")
+    """N5 over (chain, tx_hash, sequence), by chain: the first `batch` rows after the cursor by sequence and hash; what they leave of the
+    batch from the cursor's own sequence by descending hash; all rows where none reaches the cursor, or without a cursor.
+
+    Both ranks are cut at `batch` before the shuffle, so a chain's rows never meet in one task; the counts are one row a chain.
+    """
+    if cursor_sequence <= 0:
+        return df
+    batch, at = max(1, batch), F.col("sequence")
+    newer = pick_first(df.where(at > cursor_sequence), ["chain"], [at, F.col("tx_hash")], batch)
+    own = pick_first(df.where(at == cursor_sequence), ["chain"], [F.col("tx_hash").desc()], batch, "_place")
+    counts = df.groupBy("chain").agg(F.max("sequence").alias("_top"), F.count(F.when(at > cursor_sequence, 1)).alias("_after"))
+    kept = own.join(counts, "chain").where(F.col("_place") <= batch - F.col("_after")).select(*df.columns)
+    idle = df.where(at < cursor_sequence).join(counts.where(F.col("_top") < cursor_sequence).select("chain"), "chain", "left_semi")
+    return newer.unionByName(kept).unionByName(idle.select(*df.columns))
 
 
 def self_transfers(df: DataFrame) -> DataFrame:

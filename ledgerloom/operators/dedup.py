@@ -15,6 +15,12 @@ def pick_winner(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     return ranked(df, keys, order).where("_rank = 1").drop("_rank")
 
 
+def pick_first(df: DataFrame, keys: list, order: list[Column], most: int, name: str | None = None) -> DataFrame:
+    """The first `most` rows of each key, with their place where it gets a name."""
+    out = ranked(df, keys, order, name or "_rank").where(F.col(name or "_rank") <= most)
+    return out if name else out.drop("_rank")
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], merge: dict[str, Column]) -> DataFrame:
     """`old` with the rows of `new` (one per key): inserted where the key is new, else merged by column.
 

@@ -51,7 +51,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN block_cursor % 3 = 0 THEN 'finalized' ELSE 'pending' END AS finality_state
         FROM (SELECT DISTINCT chain, network, block_cursor FROM v_tx) d""",
     "v_signal": """
-        SELECT c.chain, c.network, e.ts, e.event_id AS ordinal, e.event_type, e.event_type = 'error' AS is_error, CAST(round(e.value * 100) AS BIGINT) AS latency, e.props
+        SELECT c.chain, c.network, e.ts, e.event_id AS ordinal, e.event_type, e.event_type = 'error' AS is_error, CAST(round(e.value * 100) AS BIGINT) AS latency, e.props, concat('addr', CAST(e.user_id AS STRING)) AS address
         FROM events e JOIN v_chain c ON e.user_id % 5 = c.r_regionkey""",
 }
 
