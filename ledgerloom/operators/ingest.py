@@ -193,3 +193,20 @@ def looked_up(addresses: DataFrame, watched: DataFrame) -> DataFrame:
     """L1 and L2: which addresses are watched. Spark prunes the large side by a runtime Bloom filter of the small one where that pays."""
     hit = watched.select("chain", "network", "address", F.lit(True).alias("_hit")).distinct()
     return addresses.join(hit, ["chain", "network", "address"], "left").withColumn("is_watched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def deny_log(denials: DataFrame, tokens: DataFrame, source: str = "auto", score: int = 100) -> DataFrame:
+    """The audit rows of the tokens that scam_denials() denies now: contract, reason (the signal of the event that gave it away), source,
+    score and the event's position. Tokens that were denied before have no new row."""
+    at = F.col("ordinal") == F.col("deny_ordinal")
+    reason = F.coalesce(F.nullif("signal", F.lit("")), F.lit("phantom_withdrawal"))
+    first = denials.where(at).groupBy("chain", "network", "contract").agg(F.min(F.struct("ordinal", reason.alias("reason"))).alias("f"))
+    known = tokens.where("is_denied").select("chain", "network", "contract")
+    return first.join(known, ["chain", "network", "contract"], "left_anti").select("chain", "network", "contract", "f.reason", F.lit(source).alias("source"), F.lit(score).alias("score"), F.col("f.ordinal").alias("denied_at"))
+
+
+def with_denied(tokens: DataFrame, log: DataFrame) -> DataFrame:
+    """Tokens after the denials of a batch."""
+    now = log.select("chain", "network", "contract", F.lit(True).alias("_now")).distinct()
+    both = tokens.join(now, ["chain", "network", "contract"], "left")
+    return both.withColumn("is_denied", F.col("is_denied") | F.coalesce("_now", F.lit(False))).drop("_now")

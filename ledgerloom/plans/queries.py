@@ -134,10 +134,14 @@ def scam_first_fire(spark, d):
     return ingest.scam_denials(events, none).select("event_id", "skipped")
 
 
-@query("v_event v_watched", """SELECT e.event_id, CASE WHEN w.address IS NOT NULL THEN e.address END AS watched_address, w.wallet_id, w.organization_id
-    FROM v_event e LEFT JOIN (SELECT * FROM v_watched WHERE is_active) w ON e.chain = w.chain AND e.network = w.network AND e.address = w.address""")
+@query("v_event v_watched", """WITH w AS (SELECT chain, network, address, wallet_id, organization_id FROM v_watched WHERE is_active UNION ALL SELECT DISTINCT chain, network, concat('sup', CAST(k AS STRING)), 'w', 'o' FROM v_chain, (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) n)
+    SELECT e.event_id, coalesce(a.address, b.address) AS watched_address, CASE WHEN a.address IS NOT NULL THEN a.wallet_id ELSE b.wallet_id END AS wallet_id, CASE WHEN a.address IS NOT NULL THEN a.organization_id ELSE b.organization_id END AS organization_id
+    FROM v_event e LEFT JOIN w a ON e.chain = a.chain AND e.network = a.network AND e.address = a.address LEFT JOIN w b ON e.chain = b.chain AND e.network = b.network AND e.counterparty = b.address""")
 def watched_resolution(spark, d):
-    return ingest.resolved_watch(ledger(spark, d), view(spark, d, "v_watched").where("is_active")).select("event_id", "watched_address", "wallet_id", "organization_id")
+    """Watched are the active addresses and three counterparties."""
+    own = view(spark, d, "v_watched").where("is_active").select("chain", "network", "address", "wallet_id", "organization_id")
+    others = view(spark, d, "v_chain").select("chain", "network", F.explode(F.array(*[F.lit(f"sup{k}") for k in (1, 2, 3)])).alias("address"), F.lit("w").alias("wallet_id"), F.lit("o").alias("organization_id"))
+    return ingest.resolved_watch(ledger(spark, d), own.unionByName(others)).select("event_id", "watched_address", "wallet_id", "organization_id")
 
 
 def two_batches(spark, d):
@@ -686,18 +690,20 @@ def btc_fee(spark, d):
     return btc.envelopes(e.select("txid"), resolved, outs).select("txid", "fee_sat", "fee_payer")
 
 
-@query("v_event_raw", """WITH RECURSIVE f AS (SELECT tx_hash, outer_index AS i, max(delta_n) AS v FROM v_event_raw GROUP BY ALL), t AS (SELECT tx_hash, i, 0 AS depth FROM f WHERE i = 1 UNION ALL SELECT f.tx_hash, f.i, t.depth + 1 FROM f JOIN t ON f.tx_hash = t.tx_hash AND f.i = t.i + 1)
-    SELECT tx_hash, i AS frame_id, depth FROM t""")
+@query("v_event_raw v_watched", """WITH RECURSIVE f AS (SELECT tx_hash, outer_index AS i, max(delta_n) AS v, min(address) AS a, min(counterparty) AS b FROM v_event_raw GROUP BY ALL),
+    t AS (SELECT tx_hash, i, 0 AS depth, v, a, b FROM f WHERE i = 1 UNION ALL SELECT f.tx_hash, f.i, t.depth + 1, f.v, f.a, f.b FROM f JOIN t ON f.tx_hash = t.tx_hash AND f.i = t.i + 1)
+    SELECT tx_hash, i AS frame_id, depth FROM t WHERE i % 3 <> 0 AND (a IN (SELECT address FROM v_watched WHERE is_active) OR b = 'sup7')""")
 def internal_call_tree(spark, d):
-    f = view(spark, d, "v_event_raw").groupBy("tx_hash", F.col("outer_index").alias("frame_id")).agg(F.max("delta_n").alias("value"))
-    frames = f.select("tx_hash", "frame_id", F.when(F.col("frame_id") > 1, F.col("frame_id") - 1).alias("parent_id"), F.lit("a").alias("from"), F.lit("b").alias("to"), "value", F.lit(False).alias("failed"))
-    watched = spark.createDataFrame([("b",)], "address string")
+    """Every third frame moves nothing, every fourth failed; parties are those of the events."""
+    f = view(spark, d, "v_event_raw").groupBy("tx_hash", F.col("outer_index").alias("frame_id")).agg(F.max("delta_n").alias("v"), F.min("address").alias("from"), F.min("counterparty").alias("to"))
+    frames = f.select("tx_hash", "frame_id", F.when(F.col("frame_id") > 1, F.col("frame_id") - 1).alias("parent_id"), "from", "to", F.when(F.col("frame_id") % 3 == 0, 0).otherwise(F.col("v")).alias("value"), (F.col("frame_id") % 4 == 0).alias("failed"))
+    watched = _active(spark, d).unionAll(spark.createDataFrame([("sup7",)], "address string"))
     return evm.internal_transfers(frames, watched).select("tx_hash", "frame_id", "depth")
 
 
-def _payloads(spark, d, body: str) -> DataFrame:
+def _payloads(spark, d, body: str, **more: Column) -> DataFrame:
     """Raw payloads made of orders: `body` is a JSON text with names of columns in brackets."""
-    t = view(spark, d, "v_tx").withColumns({"n": F.col("ordinal").cast("string"), "other": F.concat(F.lit("sup"), (F.col("ordinal") % 50).cast("string"))})
+    t = view(spark, d, "v_tx").withColumns(more).withColumns({"n": F.col("ordinal").cast("string"), "other": F.concat(F.lit("sup"), (F.col("ordinal") % 50).cast("string"))})
     parts = body.replace("[", "\0[").replace("]", "]\0").split("\0")
     text = F.concat(*[F.col(p[1:-1]).cast("string") if p.startswith("[") and p.endswith("]") and p[1:-1] in t.columns else F.lit(p) for p in parts if p])
     return t.select("ordinal", F.lit("base").alias("chain"), F.col("tx_hash").alias("signature"), text.alias("payload"))

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.sources.shared import deleted, new_path, shared_dir
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 VIEWS: dict[str, str] = {
@@ -70,25 +72,67 @@ def _spelled(sql: str, dialect: str) -> str:
     return sql
 
 
-def needed(name: str) -> list[str]:
-    """The views under a view, in order, itself last."""
+#: Views that are written once a session and folder: the ledger's events, which nearly every query reads.
+STORED = ("v_event_raw", "v_event")
+
+
+def needed(name: str, stored: tuple[str, ...] = ()) -> list[str]:
+    """The views under a view, in order, itself last; what is stored needs nothing."""
     out: list[str] = []
     for other in VIEWS:
         if other != name and re.search(rf"\b{other}\b", VIEWS[name]):
-            out += [x for x in needed(other) if x not in out]
+            out += [x for x in (needed(other, stored) if other not in stored else [other]) if x not in out]
     return [*out, name]
 
 
 def prefix(names: list[str], dialect: str, tables: dict[str, str] | None = None) -> str:
-    """WITH ... for these views, with tables read from paths where they are given."""
-    views = list(dict.fromkeys(x for n in names for x in needed(n)))
-    parts = [f"{t} AS (SELECT * FROM parquet.`{p}`)" for t, p in (tables or {}).items()]
-    return "WITH " + ", ".join(parts + [f"{v} AS ({_spelled(VIEWS[v], dialect)})" for v in views])
+    """WITH ... for these views, with tables and stored views read from paths where they are given."""
+    known = tables or {}
+    views = list(dict.fromkeys(x for n in names for x in needed(n, tuple(v for v in VIEWS if v in known and v != n))))
+    parts = [f"{t} AS (SELECT * FROM parquet.`{p}`)" for t, p in known.items()]
+    return "WITH " + ", ".join(parts + [f"{v} AS ({_spelled(VIEWS[v], dialect)})" for v in views if v not in known])
+
+
+def version(spark: SparkSession, sf_dir: str) -> str:
+    """Sizes and times of the tables' files: what is stored of other ones is not used."""
+    jvm, out = spark._jvm, []
+    for t in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            out += [f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(path)]
+    return "|".join(out)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> str | None:
+    """The path of a stored view, written now if it isn't there; None on a cluster that names no shared folder."""
+    if shared_dir(spark) is None:
+        return None
+    sc = spark.sparkContext
+    if not hasattr(sc, "_ledgerloom_views"):
+        sc._ledgerloom_views = {}
+    now = version(spark, sf_dir)
+    was, path = sc._ledgerloom_views.get((sf_dir, name), ("", None))
+    if was != now:
+        deleted(spark, path)
+        path = new_path(spark, name)
+        below = {v: stored(spark, sf_dir, v) for v in STORED[: STORED.index(name)]}
+        _planned(spark, sf_dir, name, below).write.parquet(path)
+        sc._ledgerloom_views[sf_dir, name] = (now, path)
+    return path
+
+
+def _planned(spark: SparkSession, sf_dir: str, name: str, below: dict[str, str]) -> DataFrame:
+    return spark.sql(f"{prefix([name], 'spark', {t: f'{sf_dir}/{t}.parquet' for t in TABLES} | below)} SELECT * FROM {name}")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables of a folder; Catalyst prunes what a query doesn't use of it."""
-    return spark.sql(f"{prefix([name], 'spark', {t: f'{sf_dir}/{t}.parquet' for t in TABLES})} SELECT * FROM {name}")
+    """A view over the tables of a folder; Catalyst prunes what a query doesn't use of it. The ledger's events are read as they were stored."""
+    if name in STORED:
+        path = stored(spark, sf_dir, name)
+        if path:
+            return spark.read.parquet(path)
+    return _planned(spark, sf_dir, name, {})
 
 
 def duckdb_sql(names: list[str], select: str) -> str:

@@ -6,14 +6,12 @@ joined on the address, so their number may grow.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.bignum import hex_to_decimal
 from ledgerloom.operators.dedup import pick_winner
+from ledgerloom.sources.shared import dropped, written
 
 #: Fixed value: the first topic of token transfers as the payloads in use spell it; a parameter of decoding.
 TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55aebf9f4f7b8"
@@ -78,22 +76,14 @@ def receipt_logs(receipts: DataFrame, wanted: list[str | None]) -> DataFrame:
     return rows.where(matches_topics(F.col("log.topics"), wanted)).select("block_number", "tx_hash", "tx_index", "place", "log")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet to the shared folder and reads it back, so that plans of rounds stay short."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def internal_frames(frames: DataFrame) -> DataFrame:
-    """The call trees of S7 over (tx_hash, frame_id, parent_id, from, to, value, failed): each frame with its depth, below the roots.
+    """The call trees of S7 over (tx_hash, frame_id, parent_id, from, to, value): each frame with its depth, below the roots. Whether a call
+    failed is not asked, as a scan is to find every transaction that may matter.
 
-    A failed call undoes all below it, so its branch is left out. Each round doubles the steps that a frame has gone up, over written
-    tables, so there are as many rounds as the depth of the deepest call has binary digits, and no bound on rows or depth.
+    Each round doubles the steps that a frame has gone up, over written tables, so there are as many rounds as the depth of the
+    deepest call has binary digits, and no bound on rows or depth. A frame of a circle has no root and is left out.
     """
-    keep = frames.where("not failed")
-    now = _written(keep.select("tx_hash", "frame_id", F.col("parent_id").alias("_up"), F.col("parent_id").isNotNull().cast("int").alias("depth"), "from", "to", "value"), "frames")
+    now = written(frames.select("tx_hash", "frame_id", F.col("parent_id").alias("_up"), F.col("parent_id").isNotNull().cast("int").alias("depth"), "from", "to", "value"), "frames")
     left = None
     while True:
         open_ = now.where("_up is not null").count()
@@ -103,7 +93,8 @@ def internal_frames(frames: DataFrame) -> DataFrame:
         above = now.select(F.col("tx_hash").alias("_tx"), F.col("frame_id").alias("_frame"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))
         step = now.where("_up is not null").join(above, (F.col("tx_hash") == F.col("_tx")) & (F.col("_up") == F.col("_frame")))
         up = step.select("tx_hash", "frame_id", F.col("_next").alias("_up"), (F.col("depth") + F.col("_more")).alias("depth"), "from", "to", "value")
-        now = _written(now.where("_up is null").unionAll(up), "frames")
+        before, now = now, written(now.where("_up is null").unionAll(up), "frames")
+        dropped(before)
     return now.where("_up is null").select("tx_hash", "frame_id", "from", "to", "value", "depth")
 
 

@@ -16,22 +16,39 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.operators import canonical, finality, ingest
-from ledgerloom.streaming.store import LedgerStore
+from ledgerloom.streaming.store import NEWEST, SUM, LedgerStore, Table
 
 EVENTS = "event_id string, chain string, network string, address string, contract string, token_type string, activity string, tx_hash string, block_cursor long, delta string, finality_state string, balance_applied boolean"
 BALANCES = "chain string, network string, address string, contract string, balance_type string, amount decimal(38,0), last_updated_cursor long, last_updated_tx_hash string"
 WATERMARKS = "chain string, network string, ingested_sequence long"
 SCHEMAS = {"events": EVENTS, "balances": BALANCES, "watermarks": WATERMARKS}
+TABLES = {"events": Table(EVENTS, NEWEST, ("event_id",)), "balances": Table(BALANCES, SUM, tuple(ingest.BALANCE_KEY)), "watermarks": Table(WATERMARKS)}
 INPUT = "event_id string, chain string, network string, address string, counterparty string, contract string, token_type string, action string, activity string, tx_hash string, block_cursor long, delta string, finality_state string, ordinal long"
 
 
-def next_state(state: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
-    """The tables after a batch of canonical events. Balances come from the ledger itself, so an event never counts twice."""
+def _numbered(events: DataFrame) -> DataFrame:
+    return events.withColumns({"delta_n": F.col("delta").cast("decimal(38,0)"), "ordinal": F.col("event_id")})
+
+
+def changes(state: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
+    """What a batch of canonical events changes: rows of the ledger by id, and changes to balances by key of the events that count from now on.
+
+    An event counts once: its amount never changes, so it is booked when it is applied first. Nothing else of the ledger is written.
+    """
     new = canonical.account_winners(batch.where("event_id <> ''")).withColumn("balance_applied", ingest.applies(F.col("chain"), F.col("finality_state"), F.col("token_type"), F.col("delta")))
-    events = ingest.upserted_events(state["events"], new.select(*state["events"].columns))
-    applied = events.where("balance_applied").withColumns({"delta_n": F.col("delta").cast("decimal(38,0)"), "ordinal": F.col("event_id")})
+    new = new.select(*state["events"].columns)
+    old = state["events"].join(new.select("event_id"), "event_id", "left_semi").select(*state["events"].columns)
+    rows = ingest.upserted_events(old, new)
+    booked = rows.where("balance_applied").join(old.where("balance_applied").select("event_id"), "event_id", "left_anti")
     marks = batch.groupBy("chain", "network").agg(F.max("block_cursor").alias("ingested_sequence"))
-    return {"events": events, "balances": ingest.adjustments(applied), "watermarks": ingest.watermarks(state["watermarks"], marks)}
+    return {"events": rows, "balances": ingest.adjustments(_numbered(booked)), "watermarks": ingest.watermarks(state["watermarks"], marks)}
+
+
+def next_state(state: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
+    """The whole tables after a batch."""
+    new = changes(state, batch)
+    kept = state["events"].join(new["events"].select("event_id"), "event_id", "left_anti").select(*state["events"].columns)
+    return {"events": kept.unionByName(new["events"]), "balances": ingest.adjusted(state["balances"], new["balances"]), "watermarks": new["watermarks"]}
 
 
 def promoted_state(state: dict[str, DataFrame], chain: str, network: str, up_to: int) -> dict[str, DataFrame]:
@@ -39,7 +56,7 @@ def promoted_state(state: dict[str, DataFrame], chain: str, network: str, up_to:
     own = (F.col("chain") == chain) & (F.col("network") == network)
     now = finality.promoted_events(state["events"].where(own), F.lit(up_to)).select(*state["events"].columns)
     events = state["events"].where(~own).unionByName(now)
-    applied = events.where("balance_applied").withColumns({"delta_n": F.col("delta").cast("decimal(38,0)"), "ordinal": F.col("event_id")})
+    applied = _numbered(events.where("balance_applied"))
     return {"events": events, "balances": ingest.adjustments(applied)}
 
 
@@ -47,17 +64,20 @@ def rolled_back_state(state: dict[str, DataFrame], chain: str, network: str, for
     """The tables after a reorganisation of one chain: nothing from the fork on."""
     own = (F.col("chain") == chain) & (F.col("network") == network)
     events = state["events"].where(~own).unionByName(finality.rolled_back(state["events"].where(own), F.lit(fork)))
-    applied = events.where("balance_applied").withColumns({"delta_n": F.col("delta").cast("decimal(38,0)"), "ordinal": F.col("event_id")})
+    applied = _numbered(events.where("balance_applied"))
     marks = state["watermarks"].withColumn("ingested_sequence", F.when(own, F.least("ingested_sequence", finality.rewound(F.lit(fork)))).otherwise(F.col("ingested_sequence")).cast("long"))
     return {"events": events, "balances": ingest.adjustments(applied), "watermarks": marks}
 
 
 def ingest_batch(store: LedgerStore, batch: DataFrame, batch_id: int) -> bool:
-    """One micro-batch; False if it was committed before."""
+    """One micro-batch; False if it was committed before. What it writes follows the batch, not the ledger."""
     if batch_id <= store.current()["batch"]:
         return False
-    state = {name: store.read(name) for name in store.schemas}
-    return store.commit(batch_id, next_state(state, batch), ("chain", "network"))
+    batch.persist()
+    try:
+        return store.commit(batch_id, changes({name: store.read(name) for name in TABLES}, batch))
+    finally:
+        batch.unpersist()
 
 
 def started(events: DataFrame, store: LedgerStore, checkpoint: str) -> StreamingQuery:

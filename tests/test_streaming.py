@@ -23,7 +23,7 @@ def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     for k in range(3):
         spark.createDataFrame(rows[k::3], stream.INPUT).coalesce(1).write.mode("append").parquet(str(source))
-    store = LedgerStore(spark, f"file://{tmp_path}/store", stream.SCHEMAS)
+    store = LedgerStore(spark, f"file://{tmp_path}/store", stream.TABLES)
     df = spark.readStream.schema(stream.INPUT).option("maxFilesPerTrigger", 1).parquet(str(source))
     for _ in range(2):  # a second start finds nothing new
         stream.started(df, store, str(tmp_path / "check")).awaitTermination()
@@ -64,3 +64,49 @@ def test_error_rates_and_floor(spark, tmp_path):
     q = stream.coverage_floor(src, ttl_ms=None).writeStream.format("memory").queryName("floor").outputMode("update").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert max(r.n_events for r in spark.table("floor").collect()) == 2
+
+
+def test_a_crash_before_the_pointer_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    import pytest
+
+    store = LedgerStore(spark, f"file://{tmp_path}/store", stream.TABLES)
+    rows = [("e1", "base", "mainnet", "a", "c", "t", "NATIVE", "x", "DEPOSIT", "h", 5, "10", "confirmed", 1)]
+    assert stream.ingest_batch(store, spark.createDataFrame(rows, stream.INPUT), 0)
+    more = [("e2", *rows[0][1:])]
+    with monkeypatch.context() as m:
+        m.setattr(LedgerStore, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            stream.ingest_batch(store, spark.createDataFrame(more, stream.INPUT), 1)
+    assert store.current()["batch"] == 0 and [r.event_id for r in store.read("events").collect()] == ["e1"]
+    (tmp_path / "store" / "pointers" / ".000000000001-part").write_text("{")  # a pointer that was never moved
+    assert stream.ingest_batch(store, spark.createDataFrame(more, stream.INPUT), 1)
+    assert amounts(store.read("balances")) == {("base", "a", ""): 20} and store.versions() == [0, 1]
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path, monkeypatch):
+    from ledgerloom.streaming import store as module
+
+    monkeypatch.setattr(module, "COMPACT", 3)
+    store = LedgerStore(spark, f"file://{tmp_path}/store", stream.TABLES)
+    row = lambda i, state: (f"e{i}", "base", "mainnet", f"a{i % 3}", "c", "t", "NATIVE", "x", "DEPOSIT", f"h{i}", i, "10", state, i)
+    stream.ingest_batch(store, spark.createDataFrame([row(i, "pending") for i in range(100)], stream.INPUT), 0)
+    assert amounts(store.read("balances")) == {}
+    for k in range(1, 6):
+        stream.ingest_batch(store, spark.createDataFrame([row(k, "confirmed"), row(k, "finalized")], stream.INPUT), k)
+        segments = store.current()["tables"]["events"]
+        assert len(segments) <= 3
+        if not segments[-1].endswith("whole"):
+            assert spark.read.parquet(f"file://{tmp_path}/store/{segments[-1]}").count() == 1
+    assert store.read("events").count() == 100 and amounts(store.read("balances")) == {("base", "a0", ""): 10, ("base", "a1", ""): 20, ("base", "a2", ""): 20}
+    left = [p.name for p in (tmp_path / "store" / "events").iterdir() if not p.name.startswith(".")]
+    assert len(left) <= 7  # what the last two versions name
+
+
+def test_a_batch_that_fails_as_a_whole_is_an_error(spark):
+    import pytest
+
+    from ledgerloom.operators import canonical
+
+    df = spark.createDataFrame([("base", 0, 3)], "chain string, done long, n long")
+    with pytest.raises(Exception, match="no transaction"):
+        canonical.guarded(df, F.col("done"), F.col("n")).collect()
