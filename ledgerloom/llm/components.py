@@ -45,5 +45,7 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = after
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out.written_path = now.written_path  # for dropped(), once the result was read
+            return out
         mark = seen

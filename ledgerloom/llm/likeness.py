@@ -259,24 +259,29 @@ def components(docs: DataFrame, sets: DataFrame, bucket: int = BUCKET, family: i
         rows = shared.join(one.select("set_id", "bits"), "set_id").select("key", F.col("set_id").alias("id"), F.col("bits").alias("data"))
         close_ = lambda data: close(np.stack(data))
         trees = written(_by_group(_in_blocks(rows, shared.select("key", F.lit(1).alias("n")), bucket), close_, lambda c: list(stacked(c, LANES))), "trees")
-    families = written(connected(trees, "a", "b").distinct().join(one.select("set_id", "row", "size"), F.col("node") == F.col("set_id")).select("set_id", F.col("root").alias("key"), "row.*", "size"), "families")
+    grown = connected(trees, "a", "b")
+    families = written(grown.distinct().join(one.select("set_id", "row", "size"), F.col("node") == F.col("set_id")).select("set_id", F.col("root").alias("key"), "row.*", "size"), "families")
     wanted = families.select("set_id", "key", "size", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
     texts = docs.select("doc_id", text_hash().alias("text_hash"), "text").join(few(wanted), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # rows with an id and text that repeats are one set; a task passes it on once
         for batch in batches:
-            new = [k for k, x in enumerate(batch.column(1).to_pylist()) if x not in seen and not seen.add(x)]
-            part = batch.take(pa.array(new, pa.int64()))
-            data = pa.array([shingles(t).tobytes() for t in part.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), data], names=["key", "id", "data"])
+            rows = []
+            for key, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if name not in seen and name_of(found := shingles(text)) == name:
+                    seen.add(name)
+                    rows.append((key, name, found.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "id", "data"])
 
     members = texts.select("key", "set_id", "text").mapInArrow(run, "key long, id long, data binary")
     sizes = families.select("key", F.col("size").alias("n"))
     exact = written(_by_group(_in_blocks(members, sizes, family), linked, lambda c: [np.frombuffer(x, "<u8") for x in c.to_pylist()]), "links")
-    out = connected(exact, "a", "b").distinct()
-    for done in (one, shared, trees, families, exact):
+    groups = connected(exact, "a", "b")
+    for done in (one, shared, trees, grown, families, exact):
         dropped(done)
+    out = groups.distinct()
+    out.written_path = groups.written_path
     return out
 
 
@@ -287,7 +292,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     stay: no id names them.
     """
     sets = written(sets_of(docs), "shingled")
-    groups = written(components(docs, sets), "groups")
+    groups = components(docs, sets)
     named = sets.where("doc_id is not null")
     least = named.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     of_group = least.join(groups, least.set_id == groups.node, "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("row").alias("row"))
@@ -295,6 +300,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     times = named.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg((F.count("*") > 1).alias("_again"))
     kept = written(kept.join(times, ["_id", "_hash"]), "kept")
     dropped(sets)
+    dropped(groups)
     id_, hash_, place, kept_id, kept_hash = fresh(docs, "id", "hash", "place", "kept_id", "kept_hash")
     kept = kept.withColumnsRenamed({"_id": kept_id, "_hash": kept_hash})
     own = lambda df, right: df.join(right, (F.col(id_) == F.col(kept_id)) & (F.col(hash_) == F.col(kept_hash)), "left_semi")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import arrow_rows, in_arrow, shipped, written
+from ledgerloom.llm.common import arrow_rows, dropped, in_arrow, shipped, written
 from ledgerloom.llm.components import connected
 from ledgerloom.llm.golay import nearby
 
@@ -196,6 +196,7 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         dealt = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
         out = out.unionAll(_linked(pairs, None).select("a", "b"))
+    out.written_path = found.written_path
     return out
 
 
@@ -203,10 +204,15 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp) for every row of `docs` (doc_id, text)."""
     fps = written(fingerprinted(docs), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    groups = connected(links(least.select("fp"), bucket), "a", "b")
+    pairs = links(least.select("fp"), bucket)
+    groups = connected(pairs, "a", "b")
+    dropped(pairs)
     # tables of their own, so that joins deal both sides anew and a key with very many rows can be split among tasks
     joined = written(groups.join(least, groups.node == least.fp).select("node", "root", "least_id"), "members")
     names = written(joined.groupBy("root").agg(F.min("least_id").alias("group_id")), "names")
     of_group = joined.join(names, "root").select("node", "group_id")
     of_fp = least.join(of_group, least.fp == of_group.node, "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id"))
-    return fps.join(written(of_fp, "groups"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = written(of_fp, "groups")
+    for done in (groups, joined, names):
+        dropped(done)
+    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

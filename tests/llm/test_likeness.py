@@ -71,3 +71,18 @@ def test_a_repeated_id_keeps_a_row_in_each_group(spark):
     docs = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, a)], DOCS)
     got = likeness.representatives(docs).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, a), (1, a), (5, b)]
+
+
+def test_crowded_keys_and_large_families_go_by_blocks(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.getrandbits(24)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, base, rng.randrange(0, 8))) for _ in range(50)] + [" ".join(f"z{rng.getrandbits(24)}" for _ in range(60)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    sets = likeness.sets_of(docs)
+    got = {r.node: r.root for r in likeness.components(docs, sets, bucket=6, family=900).collect()}
+    names = [r.set_id for r in sets.orderBy("doc_id").collect()]
+    mine, want = {}, {}
+    for i, root in enumerate(groups_brute(texts)):
+        want.setdefault(root, set()).add(i)
+        mine.setdefault(got.get(names[i], names[i]), set()).add(i)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
