@@ -19,7 +19,7 @@ import regex
 
 #: Pieces in a generation of a worker's cache, some 200 bytes each. When a generation is full it becomes the older one, from
 #: which pieces that are met again are taken over; the one before is dropped.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 #: A space with white space or the text's end on both sides: a cut there could split a run of white space.
 DOUBTFUL = re.compile(r"\s(?: (?=\s)| \Z)|\A (?=\s|\Z)")
 #: What the fast way takes: no special token, no rare space, no character that normal forms or casing by context touch.
@@ -53,6 +53,8 @@ class Pieces(dict):
         self.special = tuple(x["content"] for x in spec["added_tokens"])
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.lower else BYTE_PATTERN)
         self.model = self.library.model
+        self.tokenize = self.model.tokenize
+        self.packed = [struct.pack("<I", i) for i in range(max(self.library.get_vocab(with_added_tokens=True).values()) + 1)]
         self.symbols = byte_symbols()
         self.older: dict[str, bytes] = {}
         self.points = {c: self.plain(c) for c in ".,"}
@@ -66,22 +68,29 @@ class Pieces(dict):
 
     def plain(self, text: str) -> bytes:
         """Ids of a text that the file's pattern and the library's model handle by themselves."""
-        ids: list[int] = []
+        ids: list[bytes] = []
         low = text.lower() if self.lower else text
         for word in (low,) if low.isalpha() or low[:1] == " " and low[1:].isalpha() else self.word.findall(low):
             if word[0] == " " and word.isascii():
                 word = "\u0120" + word[1:] if word.isprintable() else self.mapped(word)
             elif not word.isascii() or not word.isprintable():
                 word = self.mapped(word)
-            for t in self.model.tokenize(word):
-                ids.append(t.id)
-        return struct.pack(f"<{len(ids)}I", *ids)
+            ids += [self.packed[t.id] for t in self.tokenize(word)]
+        return b"".join(ids)
+
+    def letters(self, word: str) -> bytes:
+        """Ids of a piece of ASCII letters, which is one word."""
+        word = word.lower() if self.lower else "\u0120" + word if self.lead else word
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(word)])
 
     def __missing__(self, key: str) -> bytes:
         ids = self.older.get(key)
-        if ids is None:
+        if ids is None and key.isascii() and key.isalpha():
+            ids = self.letters(key)
+        elif ids is None:
             piece = self.lead + key
-            if key[-1:] in self.points and (key[:-1].lower() if self.lower else key[:-1]).isalpha() and PLAIN.match(key):
+            if key[-1:] in self.points and (key[:-1].lower() if self.lower else key[:-1]).isalpha() and (key.isascii() or PLAIN.match(key)):
                 ids = self[key[:-1]] + self.points[key[-1]]  # a letter and a point are never one word
             elif (piece.isascii() and piece.isprintable() or PLAIN.match(piece)) and "<|" not in piece:
                 ids = self.plain(piece)
