@@ -19,7 +19,7 @@ import regex
 
 #: Pieces in a generation of a worker's cache, some 200 bytes each. When a generation is full it becomes the older one, from
 #: which pieces that are met again are taken over; the one before is dropped.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
 #: A space with white space or the text's end on both sides: a cut there could split a run of white space.
 DOUBTFUL = re.compile(r"\s(?: (?=\s)| \Z)|\A (?=\s|\Z)")
 #: What the fast way takes: no special token, no rare space, no character that normal forms or casing by context touch.
@@ -86,9 +86,11 @@ class Pieces(dict):
 
     def __missing__(self, key: str) -> bytes:
         ids = self.older.get(key)
-        if ids is None and key.isascii() and key.isalpha():
+        if ids is not None:
+            pass
+        elif key.isascii() and key.isalpha():
             ids = self.letters(key)
-        elif ids is None:
+        else:
             piece = self.lead + key
             if key[-1:] in self.points and (key[:-1].lower() if self.lower else key[:-1]).isalpha() and (key.isascii() or PLAIN.match(key)):
                 ids = self[key[:-1]] + self.points[key[-1]]  # a letter and a point are never one word
