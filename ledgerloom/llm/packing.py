@@ -18,6 +18,7 @@ into whole sequences, with `cut` or without, as nothing else can hold it.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,9 @@ class Packer:
             left[k] = 0
         a, c = size / self.limits[0], loss / max(1, self.limits[2])
         remaining = int(left.sum())
+        if (loss == size).all():  # the product rises with the one length that is left, so the longest example that fits has the largest
+            yield from self.longest_first(stacks, size.tolist(), left.tolist(), remaining)
+            return
         while remaining:
             if not self.segments or not self.tokens:
                 self.new()
@@ -96,6 +100,42 @@ class Packer:
             self.new()
             yield self.take(item, head, n - head, n - head)
 
+    def longest_first(self, stacks: list[list[int]], size: list[int], left: list[int], remaining: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """place() for examples whose every token bears loss, of kinds by descending length: the same choices, found by bisection."""
+        after = list(range(len(size) + 1))  # of each kind, the first from it on that has examples left
+
+        def alive(k: int) -> int:
+            while after[k] != k:
+                after[k] = after[after[k]]
+                k = after[k]
+            return k
+
+        for k, n in enumerate(left):
+            if not n:
+                after[k] = k + 1
+        while remaining:
+            if not self.segments or not self.tokens:
+                self.new()
+            room = min(self.tokens, self.loss)
+            k = alive(bisect_left(size, -room, key=lambda n: -n))
+            cut = k == len(size)
+            if cut:
+                k = alive(0)
+                if not (self.cut and room):
+                    self.new()
+                    continue
+            item, n = stacks[k].pop(), size[k]
+            left[k] -= 1
+            remaining -= 1
+            if not left[k]:
+                after[k] = k + 1
+            if cut:  # the longest fills the sequence, and its rest opens the next
+                yield self.take(item, 0, room, room)
+                self.new()
+                yield self.take(item, room, n - room, n - room)
+            else:
+                yield self.take(item, 0, n, n)
+
 
 def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int | None = None, max_loss: int | None = None, block: int = BLOCK) -> DataFrame:
     """Packs all texts of `docs` (doc_id, text) as examples whose every token bears loss; one row per piece. Without a limit of segments

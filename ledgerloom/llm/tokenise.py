@@ -22,6 +22,8 @@ import regex
 CACHE_PIECES = 400_000
 #: A space with white space or the text's end on both sides: a cut there could split a run of white space.
 DOUBTFUL = re.compile(r"\s(?: (?=\s)| \Z)|\A (?=\s|\Z)")
+#: What such a text holds if it is ASCII and doesn't begin with a space: found faster than the pattern.
+BEFORE_SPACE = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33)))
 #: What the fast way takes: no special token, no rare space, no character that normal forms or casing by context touch.
 PLAIN = re.compile(r"[^\x00-\x09\x0b-\x1f\x7f-\xa0ɐ-\U0010ffff]*\Z")
 #: The patterns by which the two files split a text (they stand in the files themselves).
@@ -112,7 +114,7 @@ class Pieces(dict):
         if self.lower:
             text = text.replace("\n", " ")
             return b"".join(map(self.__getitem__, text.split(" ")))
-        if DOUBTFUL.search(text):
+        if (not text.isascii() or text[0] == " " or any(map(text.__contains__, BEFORE_SPACE))) and DOUBTFUL.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         return self[first] + b"".join(map(self.after_space.__getitem__, rest))
