@@ -1,5 +1,7 @@
 """Every ledger query against its SQL in DuckDB, on the tables on which rules with few rows still meet some."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -8,7 +10,12 @@ from ledgerloom.plans.queries import ORACLE_SQL, QUERIES
 from ledgerloom.plans.views import TABLES
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="module")
+def data():
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+@pytest.fixture(scope="module")
 def duck(data):
     con = duckdb.connect()
     for t in TABLES:
