@@ -30,7 +30,7 @@ def tx_index_order(spark, d):
     from pyspark.sql import Window
 
     t = txs(spark, d, i="CASE ordinal % 4 WHEN 0 THEN -1 - ordinal % 3 ELSE ordinal % 7 END")
-    return t.select("tx_hash", F.row_number().over(Window.partitionBy("chain", "block_cursor").orderBy(*evm.index_order(F.col("i")), "tx_hash")).alias("place"))
+    return t.select("tx_hash", F.row_number().over(Window.partitionBy("chain", "block_cursor").orderBy(*evm.index_order(F.col("i")), "tx_hash")).cast("long").alias("place"))
 
 
 @query("v_tx", f"SELECT ordinal, CASE ordinal % 5 WHEN 0 THEN '' ELSE {_TOPIC.format(_HEX)} END AS topic, CASE ordinal % 5 WHEN 0 THEN '' ELSE {_HEX} END AS back FROM v_tx")
