@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm.common import shipped
-from ledgerloom.llm.tokenise import pieces
+from ledgerloom.llm.tokenise import CACHE_PIECES, pieces
 
 #: Examples that are packed together.
 BLOCK = 4096
@@ -137,7 +137,7 @@ class Packer:
                 yield self.take(item, 0, n, n)
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int | None = None, max_loss: int | None = None, block: int = BLOCK) -> DataFrame:
+def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int | None = None, max_loss: int | None = None, block: int = BLOCK, cache: int = CACHE_PIECES) -> DataFrame:
     """Packs all texts of `docs` (doc_id, text) as examples whose every token bears loss; one row per piece. Without a limit of segments
     as many short texts share a sequence as it holds."""
     shipped(docs.sparkSession)
@@ -146,7 +146,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int
     names = [x.rsplit(" ", 1)[0].strip() for x in SCHEMA.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = pieces(tokenizer).encode
+        encode = pieces(tokenizer, most=cache).encode
         packer = Packer(*limits, cut=True)
         first = TaskContext.get().partitionId() << 32
         step = min(limits[0], limits[2])

@@ -12,6 +12,8 @@ from ledgerloom.llm.common import spread, table
 
 #: Names of the public tokenizer files; their folder is that of the installed package unless one is given.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+#: Pieces in a generation where a worker does little else: two generations of 200 MB at most.
+WIDE_CACHE = 1_000_000
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -31,7 +33,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_texts(spread(documents(spark, sf_dir)), tokenizer_path(BYTE_BPE), end_id=1, max_tokens=2048)
+    return packing.pack_texts(spread(documents(spark, sf_dir)), tokenizer_path(BYTE_BPE), end_id=1, max_tokens=2048, cache=WIDE_CACHE)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, files = records.write_records(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2)
+    folder, files = records.write_records(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2, cache=WIDE_CACHE)
     return records.read_records(spark, folder, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import new_folder, shipped, size_of, text_column
-from ledgerloom.llm.tokenise import id_width, narrowed, pieces
+from ledgerloom.llm.tokenise import CACHE_PIECES, id_width, narrowed, pieces
 
 #: The reflected Castagnoli polynomial and the mask of the public record format.
 POLYNOMIAL = 0x82F63B78
@@ -133,7 +133,7 @@ def parsed(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if none else doc, np.frombuffer(data, "<u2" if width == 2 else "<u4", offset=10)
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, width: int | None = None) -> tuple[str, list[dict]]:
+def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, width: int | None = None, cache: int = CACHE_PIECES) -> tuple[str, list[dict]]:
     """Writes all texts of `docs` (doc_id, text) in ascending id order; returns the folder and a row per file. Ids take `width` bytes, or
     what the vocabulary needs."""
     spark = shipped(docs.sparkSession)
@@ -144,7 +144,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = pieces(tokenizer).encode
+        encode = pieces(tokenizer, most=cache).encode
         task = TaskContext.get()
         fs, path = opened(folder)
         n = task.partitionId()

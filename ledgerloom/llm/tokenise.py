@@ -40,9 +40,9 @@ def byte_symbols() -> list[str]:
 class Pieces(dict):
     """Piece -> the ids of `lead` + piece as little-endian unsigned 32-bit integers; a missing piece is encoded."""
 
-    def __init__(self, path: str, lead: str = "", literal: bool = False):
-        """With `literal`, strings of special tokens in a text are ordinary text."""
-        self.lead = lead
+    def __init__(self, path: str, lead: str = "", literal: bool = False, most: int = CACHE_PIECES):
+        """With `literal`, strings of special tokens in a text are ordinary text; `most` pieces make a generation."""
+        self.lead, self.most = lead, most
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -60,7 +60,7 @@ class Pieces(dict):
         self.symbols = byte_symbols()
         self.older: dict[str, bytes] = {}
         self.points = {c: self.plain(c) for c in ".,"}
-        self.after_space = None if lead or self.lower else Pieces(path, " ", literal)
+        self.after_space = None if lead or self.lower else Pieces(path, " ", literal, most)
 
     def mapped(self, word: str) -> str:
         return "".join([self.symbols[b] for b in word.encode()])
@@ -101,7 +101,7 @@ class Pieces(dict):
             else:
                 ids = self.whole(piece)
         if len(key) <= 64:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = ids
@@ -121,9 +121,9 @@ class Pieces(dict):
 
 
 @lru_cache(4)
-def pieces(path: str, literal: bool = False) -> Pieces:
+def pieces(path: str, literal: bool = False, most: int = CACHE_PIECES) -> Pieces:
     """One cache per worker process and tokenizer file."""
-    return Pieces(path, literal=literal)
+    return Pieces(path, literal=literal, most=most)
 
 
 @lru_cache(8)
