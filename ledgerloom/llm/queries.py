@@ -12,8 +12,8 @@ from ledgerloom.llm.common import spread, table
 
 #: Names of the public tokenizer files; their folder is that of the installed package unless one is given.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Pieces in a generation where a worker does little else: two generations of 200 MB at most.
-WIDE_CACHE = 1_000_000
+#: Pieces in a generation where a worker does little else, and where it holds records besides: two generations of some 200 bytes a piece.
+WIDE_CACHE, RECORD_CACHE = 1_000_000, 600_000
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -65,7 +65,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, files = records.write_records(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2, cache=WIDE_CACHE)
+    folder, files = records.write_records(documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=2, cache=RECORD_CACHE)
     return records.read_records(spark, folder, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
