@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalar as S
-from ledgerloom.operators import canonical, control, finality, ingest, metrics, serving, verify
+from ledgerloom.operators import canonical, control, finality, ingest, lineage, metrics, serving, verify
 from ledgerloom.plans.queries import _EVM, FORK, _active, _counter, _payloads, _reconciled, ledger, liquid, long, query, tokens_by_chain
 from ledgerloom.plans.views import view
 from ledgerloom.sources import evm
@@ -193,33 +193,61 @@ _DIGEST = "CASE ordinal % 5 WHEN 0 THEN concat('x=1| rollback-from-seq=', ordina
 
 @query("v_tx", "SELECT ordinal, CASE ordinal % 5 WHEN 0 THEN 'rollback' WHEN 1 THEN 'snapshot' END AS kind, CASE ordinal % 5 WHEN 0 THEN ordinal + 5 WHEN 1 THEN ordinal END AS first, CASE ordinal % 5 WHEN 0 THEN ordinal WHEN 1 THEN 2 END AS second, CASE ordinal % 5 WHEN 0 THEN ordinal + 9 END AS third FROM v_tx")
 def policy_digests(spark, d):
-    return txs(spark, d, g=_DIGEST).select("ordinal", control.digest("g").alias("x")).select("ordinal", "x.kind", "x.first", "x.second", "x.third")
+    return txs(spark, d, g=_DIGEST).select("ordinal", lineage.digest_parts(F.col("g")).alias("x")).select("ordinal", "x.kind", "x.first", "x.second", "x.third")
 
 
-@query("v_tx", """SELECT ordinal, CASE k WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN TRUE WHEN 4 THEN FALSE WHEN 5 THEN TRUE ELSE TRUE END AS adopt,
-    CASE k WHEN 0 THEN ordinal + 1 WHEN 1 THEN ordinal WHEN 2 THEN ordinal + 1 WHEN 3 THEN ordinal + 1 WHEN 4 THEN ordinal WHEN 5 THEN ordinal + 2 ELSE ordinal - 1 END AS epoch, greatest(ordinal % 3, 1) AS hold FROM (SELECT *, ordinal % 7 AS k FROM v_tx) x""")
+#: A rollback to the epoch e = ordinal + 10, and what a fence adds to it stage by stage.
+_FENCE = "concat('rollback-from-seq=', ordinal + 20, '|rollback-to-seq=', ordinal + 10, '|rollback-forward-seq=', ordinal + 30)"
+_EXPIRY, _HOLD = "'|rollback-fence-tombstone-expiry-epoch=', ordinal + 11", "'|rollback-fence-late-marker-hold-epoch=', ordinal + 12"
+_STAGES = {
+    "fence": _FENCE, "tomb": f"concat({_FENCE}, '| rollback-fence-tombstone=ON ')", "expired": f"concat({_FENCE}, {_EXPIRY})", "held": f"concat({_FENCE}, {_EXPIRY}, {_HOLD})",
+    "freed": f"concat({_FENCE}, {_EXPIRY}, {_HOLD}, '|rollback-fence-late-marker-release-epoch=', ordinal + 13)", "later": f"concat({_FENCE}, {_EXPIRY}, {_HOLD}, '|rollback-fence-late-marker-release-epoch=', ordinal + 14)",
+    "d": "'d'", "x": "'x'", "cut": "concat('snapshot-base-seq=', ordinal + 10, '|snapshot-tail-seq=', ordinal + 14)", "back": "concat('rollback-from-seq=', ordinal + 10, '|rollback-to-seq=', ordinal + 9, '|rollback-forward-seq=', ordinal + 10)",
+}
+#: Before, after, the incoming epoch less e; then what follows: adopted or not, the next epoch less e, the next hold of 3 left and 2 anew.
+_CASES = (
+    ("d", "d", 1, True, 1, "3"), ("d", "d", 3, False, 0, "3"), ("d", "x", 1, True, 1, "2"), ("d", "x", 5, False, 0, "3"), ("d", "cut", 4, True, 4, "2"), ("d", "cut", 5, False, 0, "3"), ("d", "back", -1, True, -1, "2"), ("d", "back", -2, False, 0, "3"),
+    ("fence", "tomb", 0, True, 0, "0"), ("tomb", "fence", 0, False, 0, "0"), ("tomb", "expired", 0, True, 0, "0"), ("expired", "tomb", 0, True, 0, "0"), ("expired", "held", 0, True, 0, "0"), ("held", "expired", 0, False, 0, "0"), ("held", "freed", 0, True, 0, "0"),
+    ("freed", "held", 0, False, 0, "0"), ("freed", "later", 0, True, 0, "0"), ("later", "freed", 0, False, 0, "0"), ("expired", "freed", 0, False, 0, "CASE WHEN warm THEN 1 ELSE 3 END"), ("freed", "fence", 1, False, 0, "CASE WHEN warm THEN 1 ELSE 3 END"),
+    ("fence", "x", 1, True, 1, "2"), ("tomb", "x", 0, False, 0, "CASE WHEN warm THEN 0 ELSE 3 END"), ("d", "x", 0, False, 0, "3"),
+)
+
+
+def _case(k: int) -> str:
+    return "CASE k " + " ".join(f"WHEN {i} THEN {_STAGES[c[k]] if k < 2 else c[k]}" for i, c in enumerate(_CASES)) + " END"
+
+
+_OF_CASES = f"SELECT *, ordinal % {len(_CASES)} AS k, ordinal % 2 = 0 AS warm FROM v_tx"
+
+
+@query("v_tx", f"SELECT ordinal, {_case(3)} AS adopt, CASE WHEN {_case(3)} THEN trim(lower({_case(1)})) ELSE trim(lower({_case(0)})) END AS next_digest, ordinal + 10 + {_case(4)} AS next_epoch, {_case(5)} AS next_hold FROM ({_OF_CASES}) x")
 def policy_transitions(spark, d):
-    """By the number of an order: the next epoch, a later one, another version, one step up, a jump, a snapshot's cutover and a rollback."""
-    t = txs(
-        spark, d, k="ordinal % 7", v="CASE WHEN ordinal % 7 = 2 THEN 'v2' ELSE 'v1' END", h="ordinal % 3",
-        g="CASE ordinal % 7 WHEN 0 THEN 'd' WHEN 1 THEN 'd' WHEN 5 THEN concat('snapshot-base-seq=', ordinal, '|snapshot-tail-seq=2') WHEN 6 THEN concat('rollback-from-seq=', ordinal, '|rollback-to-seq=', ordinal - 1, '|rollback-forward-seq=', ordinal) ELSE 'e' END",
-        e="CASE ordinal % 7 WHEN 0 THEN ordinal + 1 WHEN 1 THEN ordinal + 3 WHEN 2 THEN 0 WHEN 3 THEN ordinal + 1 WHEN 4 THEN ordinal + 5 WHEN 5 THEN ordinal + 2 ELSE ordinal - 1 END",
-    )
-    c = F.col
-    was = {"version": F.lit("v1"), "digest": F.lit("d"), "epoch": c("ordinal"), "hold": F.lit(1)}
-    return t.select("ordinal", control.reconciled_policy(was, {"version": c("v"), "digest": c("g"), "epoch": c("e"), "hold": c("h")}).alias("x")).select("ordinal", "x.adopt", "x.epoch", "x.hold")
+    """Steps, gaps, cutovers, rollbacks and every rule of one epoch, each way round."""
+    t = txs(spark, d, k=f"ordinal % {len(_CASES)}", warm="ordinal % 2 = 0").withColumns({"prev_version": F.lit("v1"), "version": F.lit(" V1"), "prev_hold": F.lit(3), "hold": F.lit(2)})
+    t = t.withColumns({k: F.expr(x) for k, x in {"prev_digest": _case(0), "digest": _case(1), "prev_epoch": "ordinal + 10", "epoch": f"ordinal + 10 + {_case(2)}"}.items()})
+    return lineage.transitions(t.drop("k")).select("ordinal", "adopt", "next_digest", "next_epoch", "next_hold")
+
+
+_BRIDGED = "'|rollback-fence-late-bridge-seq=7|rollback-fence-release-watermark=', ordinal + 14, '|rollback-fence-drain-watermark=', ordinal + 15"
+_SEALED = "|rollback-fence-live-head={0}|rollback-fence-steady-watermark={0}|rollback-fence-baseline-generation=5|rollback-fence-retention-floor=4|rollback-fence-floor-lift-epoch=1|rollback-fence-settle-window-epoch=1|rollback-fence-spillover-epoch=1|rollback-fence-rejoin-window-epoch=1|rollback-fence-rejoin-seal-epoch=2|rollback-fence-seal-drift-epoch=3".format(10**12)
+_ADDED = ("''", "'|rollback-fence-late-bridge-seq=7'", _BRIDGED, "'|rollback-fence-late-bridge-seq=7|rollback-fence-release-watermark=1'", "'|rollback-fence-late-bridge-seq=x'", f"{_BRIDGED}, '{_SEALED}'", f"{_BRIDGED}, '{_SEALED}|rollback-fence-post-steady-seal-drift-epoch=4|rollback-fence-drift-reanchor-epoch=4'")
+_NAUGHTS = lambda n: ",0" * n
+
 
+@query("v_tx", f"""SELECT ordinal, CASE ordinal % 7 WHEN 0 THEN concat(ordinal + 10, ',0', repeat(concat(',', ordinal + 13), 3), '{_NAUGHTS(29)}') WHEN 2 THEN concat(ordinal + 10, ',7', repeat(concat(',', ordinal + 15), 3), '{_NAUGHTS(29)}')
+    WHEN 5 THEN concat(ordinal + 10, ',7,', ordinal + 15, ',{10**12},{10**12},5,4,1,1,1,1,2,3{_NAUGHTS(21)}') END AS slots FROM v_tx""")
+def ownership_slots(spark, d):
+    """Without a bridge, with one and no watermark, with both, a watermark below the release, no number, a chain to the first marker, and one whose marker is lost to two values."""
+    text = "CASE ordinal % 7 " + " ".join(f"WHEN {i} THEN concat({_STAGES['freed']}, {x})" for i, x in enumerate(_ADDED)) + " END"
+    slots = lineage.ownership(txs(spark, d, digest=text, epoch="ordinal + 10"))
+    return slots.select("ordinal", F.when(F.col("slots").isNotNull(), F.concat_ws(",", F.col("slots").cast("array<string>"))).alias("slots"))
 
-@query("v_tx", """SELECT ordinal, CASE ordinal % 3 WHEN 0 THEN 0 WHEN 1 THEN least(1, ordinal) ELSE ordinal END AS hold, CASE ordinal % 4 WHEN 0 THEN ordinal WHEN 1 THEN NULL WHEN 2 THEN ordinal ELSE NULL END AS marker, least(300, CAST(pow(2, ordinal % 12) AS BIGINT)) AS wait,
-    CASE WHEN ordinal % 10 = 0 THEN FALSE ELSE (ordinal % 100) / 100.0 > 0.9 END AS pool FROM v_tx""")
+
+@query("v_tx", """SELECT ordinal, least(300, CAST(pow(2, ordinal % 12) AS BIGINT)) AS wait, CASE WHEN ordinal % 10 = 0 THEN FALSE ELSE (ordinal % 100) / 100.0 > 0.9 END AS pool FROM v_tx""")
 def control_scalars(spark, d):
-    """Holds after a restart, markers under several names, seconds of backoff, and the pool's alert."""
-    t = txs(spark, d, kind="CASE ordinal % 3 WHEN 0 THEN 'compaction' WHEN 1 THEN 'rollback_fence' ELSE 'plain' END", m="CASE ordinal % 4 WHEN 0 THEN concat('a|seal-epoch=', ordinal) WHEN 1 THEN concat('seal-epoch=', ordinal, '|late-seal-epoch=', ordinal + 1) WHEN 2 THEN concat('seal-epoch=', ordinal, ' | late-seal-epoch = ', ordinal) ELSE 'b' END")
+    """Seconds of backoff, and the pool's alert."""
     opened = F.when(F.col("ordinal") % 10 == 0, 0).otherwise(100)
-    return t.select(
-        "ordinal", control.collapsed_hold(F.col("kind"), F.col("ordinal")).cast("long").alias("hold"), control.epoch_marker("m", ("seal-epoch", "late-seal-epoch")).alias("marker"), control.restart_backoff(F.col("ordinal") % 12).alias("wait"),
-        metrics.pool_alert(F.col("ordinal") % 100, opened).alias("pool"),
-    )
+    return txs(spark, d).select("ordinal", control.restart_backoff(F.col("ordinal") % 12).alias("wait"), metrics.pool_alert(F.col("ordinal") % 100, opened).alias("pool"))
 
 
 @query("v_chain", "SELECT chain AS name, FALSE AS missing FROM v_chain WHERE chain IN ('base', 'btc') UNION ALL SELECT 'nowhere', TRUE")

@@ -53,20 +53,6 @@ def test_breaker_and_alerts(spark):
     assert [r.sent for r in got] == [True, False, True, True, True]
 
 
-def test_digests_and_policies(spark):
-    d = control.digest("d")
-    assert tuple(value(spark, d, "d string", "x|rollback-from-seq=5| rollback-to-seq=3|rollback-forward-seq=9")) == ("rollback", 5, 3, 9)
-    assert value(spark, d, "d string", "rollback-from-seq=5|rollback-to-seq=-3|rollback-forward-seq=9") is None
-    schema = "v1 string, d1 string, e1 long, h1 long, v2 string, d2 string, e2 long, h2 long"
-    side = lambda k: {"version": F.col(f"v{k}"), "digest": F.col(f"d{k}"), "epoch": F.col(f"e{k}"), "hold": F.col(f"h{k}")}
-    out = control.reconciled_policy(side(1), side(2))
-    assert tuple(value(spark, out, schema, "a", "d", 3, 0, "a", "d", 4, 2)) == (True, 4, 2)
-    assert tuple(value(spark, out, schema, "a", "d", 3, 5, "a", "d", 7, 2)) == (False, 3, 5)
-    assert tuple(value(spark, out, schema, "a", "d", 3, 0, "b", "x", 1, 0)) == (True, 4, 0)
-    assert tuple(value(spark, out, schema, "a", "d", 3, 0, "a", "snapshot-base-seq=3|snapshot-tail-seq=4", 7, 0)) == (True, 7, 0)
-    assert tuple(value(spark, out, schema, "a", "d", 5, 0, "a", "rollback-from-seq=5|rollback-to-seq=3|rollback-forward-seq=4", 3, 0)) == (True, 3, 0)
-
-
 def test_serving_upserts(spark):
     book = spark.createDataFrame([("c", "m", "o1", "a", "n1", "ACTIVE"), ("c", "m", "o2", "a", "n2", "INACTIVE")], "chain string, network string, org_id string, address string, name string, status string")
     new = spark.createDataFrame([("c", "m", "o2", "a", "n3", "ACTIVE"), ("c", "m", "o3", "b", "n4", "ACTIVE")], book.schema)
