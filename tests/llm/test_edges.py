@@ -63,3 +63,38 @@ def test_pipeline(spark, odd, empty):
         out.collect()
     assert corpus_pipeline.run(spark, empty).count() == 0
     corpus_pipeline.run(spark, odd[0]).collect()
+
+
+#: What a query says of a text, whatever the document's id and place.
+OF_TEXT = {
+    "op2_bpe": ("n_tokens", "ids_sha256", "decoded_sha256"), "op3_quality_rules": ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"), "op4_quality_classifier": ("score", "predicted"),
+    "op6_simhash": ("fingerprint", "component_id"), "op7_fingerprints": ("n_chars", "fingerprint"), "op8_records": ("n_tokens", "ids_crc32"), "op9_separator_scan": ("n_tokens",), "op10_pii": ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"),
+}
+
+
+@pytest.mark.parametrize("name", list(OF_TEXT))
+def test_nulls_ties_and_repeated_rows_by_value(name, spark, odd):
+    said = {}
+    for r in QUERIES[name](spark, odd[0]).collect():
+        said.setdefault(r.doc_id, []).append(tuple(r[c] for c in OF_TEXT[name]))
+    assert said[0] == said[1] and len(said[0]) == 1  # null is read as empty
+    assert said[6] == said[7]
+    assert len(said[4]) == 4 and max(said[4].count(x) for x in said[4]) >= 3
+    assert len(said[None]) == 2 and said[0][0] in said[None] if name != "op6_simhash" else said[0] == said[1] == said[2] == [("0" * 16, 0)]
+
+
+def test_stages_with_columns_of_their_own_names(spark, odd):
+    import corpus_pipeline
+
+    from ledgerloom.llm.common import own_prefix
+
+    plain = spark.read.parquet(f"{odd[0]}/documents.parquet")
+    own = own_prefix(plain)
+    names = [own + n for n in ("predicted", "score", "kept", "held_out")] + ["_id", "_hash", "_place", "_kept_id", "_kept_hash", "_again", "text_hash", "set_id", "root", "node", "_doc", "_row", "a b"]
+    crowded = plain.selectExpr("*", *[f"'own' AS `{n}`" for n in names])
+    rows = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.select("doc_id", "text").collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, crowded, odd[0])
+        assert out.columns == crowded.columns, name
+        assert rows(out) == rows(stage(spark, plain, odd[0])), name
+        assert all(r["a b"] == r.root == "own" for r in out.select("a b", "root").collect()), name
