@@ -164,8 +164,9 @@ def transactions(payloads: DataFrame) -> DataFrame:
     )
 
 
-def balance_events(decoded: DataFrame, watched: DataFrame, transfer_topic: str = TRANSFER_TOPIC) -> DataFrame:
-    """The events of watched parties: native transfers, token transfers, mints and burns. Failed transactions have none."""
+def balance_events(decoded: DataFrame, watched: DataFrame, transfer_topic: str = TRANSFER_TOPIC, zeros: bool = False) -> DataFrame:
+    """The events of watched parties: native transfers, token transfers, mints and burns. Failed transactions have none. Logs of an
+    amount of zero have events with `zeros` only; unreadable amounts have none."""
     ok = decoded.where("status = 'SUCCESS'")
     side = lambda address, other, delta, category, action: F.struct(address.alias("address"), other.alias("counterparty"), delta.cast("string").alias("delta"), F.lit(category).alias("category"), F.lit(action).alias("action"))
     base = ["chain", "tx_hash", "block_cursor", "tx_index"]
@@ -176,7 +177,8 @@ def balance_events(decoded: DataFrame, watched: DataFrame, transfer_topic: str =
     )
     logs = ok.select(*base, F.explode("logs").alias("log")).where(~F.coalesce(F.col("log.removed"), F.lit(False)) & (F.size("log.topics") >= 3) & (F.lower(F.get("log.topics", F.lit(0))) == transfer_topic.lower()))
     a, b, n = topic_address(F.get("log.topics", F.lit(1))), topic_address(F.get("log.topics", F.lit(2))), hex_to_decimal(F.col("log.data"))
-    moved = logs.select(*base, F.concat(F.lit("log:"), hex_to_decimal(F.col("log.logIndex")).cast("string")).alias("event_path"), lowered(F.col("log.address")).alias("contract"), F.lit("FUNGIBLE").alias("token_type"), a.alias("a"), b.alias("b"), n.alias("n")).where("n > 0")
+    zero = F.coalesce(F.trim(F.lower("log.data")).rlike("^(0x)?0+$"), F.lit(False))
+    moved = logs.select(*base, F.concat(F.lit("log:"), hex_to_decimal(F.col("log.logIndex")).cast("string")).alias("event_path"), lowered(F.col("log.address")).alias("contract"), F.lit("FUNGIBLE").alias("token_type"), a.alias("a"), b.alias("b"), n.alias("n"), zero.alias("zero")).where((F.col("n") > 0) | (F.col("zero") & F.lit(zeros)))
     kinds = F.when(F.col("a") == ZERO_ADDRESS, F.array(side(F.col("b"), F.col("a"), F.col("n"), "MINT", "erc20_mint"))).when(F.col("b") == ZERO_ADDRESS, F.array(side(F.col("a"), F.col("b"), -F.col("n"), "BURN", "erc20_burn"))).otherwise(
         F.array(side(F.col("a"), F.col("b"), -F.col("n"), "TRANSFER", "erc20_transfer"), side(F.col("b"), F.col("a"), F.col("n"), "TRANSFER", "erc20_transfer"))
     )

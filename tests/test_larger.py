@@ -6,6 +6,7 @@ import pytest
 from ledgerloom.plans import ledger_queries, source_queries  # noqa: F401
 from ledgerloom.plans.queries import ORACLE_SQL, QUERIES
 from ledgerloom.plans.views import TABLES
+from ledgerloom.sources import evm
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +35,17 @@ def both(name, spark, made):
 def test_an_address_without_balances(spark, made):
     got, want = both("balance_entries", spark, made)
     assert got == want and any("::" in r for r in got)
+
+
+def test_a_log_of_nothing(spark, made):
+    got, want = both("evm_log_events", spark, made)
+    assert got == want and any("0xTX0" in r for r in got)
+
+
+def test_only_readable_zeros_are_events(spark):
+    from test_sources import A, B, C, evm_payload, frame, topic, watched
+
+    logs = [{"address": C, "topics": [evm.TRANSFER_TOPIC, topic(A), topic(B)], "data": d, "logIndex": hex(i)} for i, d in enumerate(["0x0", "0x000", "0x", "zz", "0x5"])]
+    decoded = evm.transactions(frame(spark, evm_payload(value="0x0", logs=logs)))
+    paths = lambda **more: sorted(e.event_path for e in evm.balance_events(decoded, watched(spark, B), **more).collect())
+    assert paths() == ["log:4"] and paths(zeros=True) == ["log:0", "log:1", "log:4"]
