@@ -59,3 +59,8 @@ def test_a_quantity_just_below_a_power(spark, made):
 def test_a_token_transfer_of_nothing(spark, made):
     got, want = both("solana_token_events", spark, made)
     assert got == want and any("0xTX0" in r for r in got)
+
+
+def test_a_scan_for_an_account_of_logs_only(spark, made):
+    got, want = both("log_scan", spark, made)
+    assert got == want and not any("0xTX2" in r or "0xTX4" in r for r in got)
